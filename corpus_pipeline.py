@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import quality
+from kinfold.llm import neardup, quality
 from kinfold.plans.shared import scratch, written
 
 
@@ -13,7 +13,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
 
 #: Compression ratios, sketches, suffix arrays and best fit are beyond SQL; tests hold each stage to a brute-force version.
 ORACLE_SQL = None
