@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import neardup, quality
+from kinfold.llm import neardup, quality, repeats
 from kinfold.plans.shared import scratch, written
 
 
@@ -18,7 +18,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Text without the passages that occur before."""
+    return repeats.cut_repeats(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup)]
 
 #: Compression ratios, sketches, suffix arrays and best fit are beyond SQL; tests hold each stage to a brute-force version.
 ORACLE_SQL = None
