@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import neardup, quality, repeats
+from kinfold.llm import neardup, packing, quality, repeats
 from kinfold.plans.shared import scratch, written
 
 
@@ -23,7 +23,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return repeats.cut_repeats(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packed", packed)]
 
 #: Compression ratios, sketches, suffix arrays and best fit are beyond SQL; tests hold each stage to a brute-force version.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import neardup, quality, repeats, tokens
+from kinfold.llm import neardup, packing, quality, repeats, tokens
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -32,11 +32,16 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
