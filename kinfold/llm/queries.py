@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import licenses, neardup, packing, pieces, quality, repeats, tokens
+from kinfold.llm import licenses, neardup, packing, pieces, quality, repeats, tokens, transport, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -32,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a transport stream, and what the parser finds in it."""
+    return transport.streams(transport.mux_table(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detections(table(spark, sf_dir, "documents"))
 
@@ -49,10 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_warc": op5_warc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_transport_streams": op9_transport_streams,
     "op10_license_scan": op10_license_scan,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": "SELECT page_id, url, html FROM pages",
+}
