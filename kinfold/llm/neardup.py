@@ -31,6 +31,9 @@ THRESHOLD = 0.55
 #: Standard errors of the estimate within which a pair is left to verification: below the threshold, and above it.
 DOUBT = (3.0, 4.0)
 
+#: Ids that are broadcast, 8 bytes each.
+FEW = 1_000_000
+
 _BITS = BUCKETS.bit_length() - 1
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -138,8 +141,8 @@ def log_size(n: np.ndarray) -> np.ndarray:
     return np.round(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def candidate_edges(ids: np.ndarray, sizes: np.ndarray, regs: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Pairs of one bucket that need verification.
+def candidate_edges(ids: np.ndarray, sizes: np.ndarray, regs: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of one bucket that need verification: those far above the threshold, and the doubtful ones.
 
     Every pair whose estimate reaches the threshold within its doubt is there, but for those that
     pairs far above it connect already: these can't change a group.
@@ -168,8 +171,27 @@ def candidate_edges(ids: np.ndarray, sizes: np.ndarray, regs: np.ndarray, thresh
             doubtful += [(u, v) for v in outside[open_].tolist()]
             todo += joined.tolist()
             outside = outside[~certain]
-    pairs = sure + [(u, v) for u, v in doubtful if part[u] != part[v]]
-    return sorted({(min(a, b), max(a, b)) for a, b in ((int(ids[u]), int(ids[v])) for u, v in pairs) if a != b})
+    named = [{(min(a, b), max(a, b)) for a, b in ((int(ids[u]), int(ids[v])) for u, v in pairs) if a != b} for pairs in (sure, [(u, v) for u, v in doubtful if part[u] != part[v]])]
+    return sorted(named[0]), sorted(named[1])
+
+
+class Joined(dict):
+    """Union-find over what a task has seen."""
+
+    def root(self, x: int) -> int:
+        path = []
+        while (up := self.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            self[y] = x
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False if they are together already."""
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +249,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
+        together = Joined()  # another path of sure pairs makes a sure pair needless
         for group in B.grouped(batches, "bucket"):
-            found += candidate_edges(group.column("doc_id").to_numpy(), group.column("n").to_numpy(), B.fixed(group.column("regs"), np.uint16, BUCKETS), threshold)
+            sure, doubtful = candidate_edges(group.column("doc_id").to_numpy(), group.column("n").to_numpy(), B.fixed(group.column("regs"), np.uint16, BUCKETS), threshold)
+            found += doubtful
+            found += [pair for pair in sure if together.join(*pair)]
             if len(found) > 50_000:
                 yield _pairs(found)
                 found = []
@@ -242,17 +267,27 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in W.slices(big, "text"):
-            found, at, _, _ = shingles(W.column(batch, "text"))
-            order = np.lexsort((found, at))
-            found, at = found[order], at[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1]) | (found[1:] != found[:-1])
-            found, at = found[new], at[new]
-            cuts = np.searchsorted(at, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array([found[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "shingles"])
+def _sets(ids=None):
+    """Shingles of each document, or of those in ``ids`` (a broadcast ascending array): 32 bits of each hash, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            if ids is not None:
+                doc = W.ids(big, "doc_id")
+                at = np.minimum(np.searchsorted(ids.value, doc), max(len(ids.value) - 1, 0))
+                big = big.filter(pa.array(ids.value[at] == doc if len(ids.value) else np.zeros(len(doc), bool)))
+            for batch in W.slices(big, "text"):
+                found, at, _, _ = shingles(W.column(batch, "text"))
+                found = (found >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((found, at))
+                found, at = found[order], at[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1]) | (found[1:] != found[:-1])
+                found, at = found[new], at[new]
+                cuts = np.searchsorted(at, np.arange(batch.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array([found[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "shingles"])
+
+    return run
 
 
 def _verified(threshold: float):
@@ -260,7 +295,7 @@ def _verified(threshold: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-12)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -268,14 +303,15 @@ def _verified(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, few: int = FEW) -> DataFrame:
     """``(doc_id, duplicate_of)``: each document that goes, with the one of its group that stays (the least doc_id).
 
     Two documents belong together if the Jaccard similarity of their shingles of SHINGLE words
     (without case and ASCII punctuation) is at least ``threshold``; groups are connected components.
     Documents that appear in no row stay. Null or empty texts and texts without a word are nobody's
     duplicates, rows without a doc_id are left out, rows with one doc_id are one document, an empty
-    table gives an empty one, and only doc_id and text are read.
+    table gives an empty one, and only doc_id and text are read. Up to ``few`` documents that have a
+    candidate are picked out of the second scan by a broadcast of their ids; more of them by a join.
     """
     spark = docs.sparkSession
     at = scratch(spark, "neardup")
@@ -286,8 +322,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     buckets = reps.select("doc_id", "regs").mapInArrow(_banded(bands), "key long, doc_id long").repartition("key").mapInArrow(_buckets, "bucket long, doc_id long").distinct()
     compared = buckets.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compared(threshold), "a long, b long")
     edges = written(compared.distinct(), f"{at}/edges")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"{at}/sets")
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{at}/ends")
+    if ends.count() <= few:
+        ids = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in ends.collect()], dtype=np.int64)))
+        sets = docs.mapInArrow(_sets(ids), "doc_id long, shingles binary")
+    else:
+        sets = docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(), "doc_id long, shingles binary")
+    sets = written(sets, f"{at}/sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     pairs = edges.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verified(threshold), "a long, b long")
     same = sketches.select("doc_id", "f1", "f2").join(reps.select("f1", "f2", F.col("doc_id").alias("rep")), ["f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
