@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from kinfold.functions.text import as_text, concat_key
 from kinfold.operators import dense, sparse
 from kinfold.operators.ranking import Scorer, best_match, levenshtein_ratio, pair_scores, union_candidates
+from kinfold.plans.shared import scratch, written
 
 TOP_K = 20
 
@@ -113,7 +114,9 @@ def link_blocked(
         raise ValueError("mode is postfilter or per_block")
     q = keyed(queries, query_id, detail_query, None, "query", [as_text(blocking_query).alias("query_block")])
     c = keyed(corpus, corpus_id, detail_corpus or detail_query, None, "corpus", [as_text(blocking_corpus or blocking_query).alias("corpus_block")])
-    mapped = q.join(block_map(q, c, retrieval_top_k, encoder, scorer), "query_block", "left")
+    # several branches read the map: it is made once, as a table in the shared folder
+    table = written(block_map(q, c, retrieval_top_k, encoder, scorer), f"{scratch(q.sparkSession, 'blocks')}/map")
+    mapped = q.join(table, "query_block", "left")
     members = c.select("corpus_idx", F.col("corpus_block").alias("match_block"))
     if mode == "per_block":
         by_block = candidates(mapped.where("match_block is not null").select("query_idx", "query_text", F.col("match_block").alias("block")), c.select("corpus_idx", "corpus_text", F.col("corpus_block").alias("block")), retrieval_top_k, "block", encoder)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from kinfold.functions.text import char_ngrams, normalized
 from kinfold.operators.ranking import rounded, top_k
+from kinfold.plans.shared import scratch, written
 
 FEATURES = 50_000
 
@@ -41,11 +42,15 @@ def _weighted(counts: DataFrame, idf: DataFrame, by: Sequence[str], keys: Sequen
 
 
 def fit(corpus: DataFrame, by: Sequence[str] = (), ngrams: tuple[int, int] = (2, 4), features: int = FEATURES) -> SparseIndex:
-    """Index of ``(corpus_idx, corpus_text, by...)``; with ``by``, one index for each of its values."""
+    """Index of ``(corpus_idx, corpus_text, by...)``; with ``by``, one index for each of its values.
+
+    Weights and postings are written to the shared folder: every query table that is looked up reads them.
+    """
     by = tuple(by)
+    at = scratch(corpus.sparkSession, "sparse")
     rows = corpus.select(*by, "corpus_idx", normalized(F.col("corpus_text")).alias("text"))
     texts = rows.groupBy(*by, "text").agg(F.count("*").alias("n_rows"))
-    counts = term_counts(texts, [*by, "text", "n_rows"], ngrams)
+    counts = written(term_counts(texts, [*by, "text", "n_rows"], ngrams), f"{at}/counts")
     grams = counts.groupBy(*by, "gram").agg(F.sum("n_rows").alias("df"), F.sum(F.col("tf") * F.col("n_rows")).alias("total"))
     if by:
         rank = Window.partitionBy(*by).orderBy(F.desc("total"), "gram")
@@ -55,7 +60,9 @@ def fit(corpus: DataFrame, by: Sequence[str] = (), ngrams: tuple[int, int] = (2,
     else:
         grams = grams.orderBy(F.desc("total"), "gram").limit(features).crossJoin(rows.agg(F.count("*").alias("n")))
     idf = grams.select(*by, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return SparseIndex(idf, _weighted(counts.select(*by, "text", "gram", "tf"), idf, by, [*by, "text"]), rows, by, ngrams)
+    idf = written(idf, f"{at}/idf")
+    postings = written(_weighted(counts.select(*by, "text", "gram", "tf"), idf, by, [*by, "text"]), f"{at}/postings")
+    return SparseIndex(idf, postings, rows, by, ngrams)
 
 
 def similarities(queries: DataFrame, index: SparseIndex) -> DataFrame:
@@ -75,7 +82,8 @@ def topk(queries: DataFrame, index: SparseIndex, k: int) -> DataFrame:
     by = list(index.by)
     few = Window.partitionBy(*by, "text").orderBy("corpus_idx")
     heads = index.rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).drop("r")
-    found = top_k(similarities(queries, index).where("score > 0").join(heads, [*by, "text"]), k, [*by, "q_text"])
+    found = top_k(similarities(queries, index).where("score > 0").join(heads, [*by, "text"]), k, [*by, "q_text"]).select(*by, "q_text", "corpus_idx", "score")
+    found = written(found, f"{scratch(queries.sparkSession, 'sparse')}/found")  # read by three branches
     all_rows = Window.partitionBy(*by).orderBy("corpus_idx") if by else Window.orderBy("corpus_idx")
     lowest = index.rows.orderBy("corpus_idx").limit(k) if not by else index.rows.withColumn("r", F.row_number().over(all_rows)).where(F.col("r") <= k)
     texts = queries.select(*by, normalized(F.col("query_text")).alias("q_text")).distinct()
