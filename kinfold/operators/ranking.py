@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinfold.plans.shared import scratch, written
+
 DIGITS = 6
 Scorer = Callable[[Column, Column], Column]
 
@@ -54,6 +56,7 @@ def ngram_dice(n: int = 3) -> Scorer:
 
 def pair_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Scorer = levenshtein_ratio) -> DataFrame:
     """``(query_idx, query_text, corpus_idx, corpus_text, score)``: each pair of texts is scored once."""
+    candidates = written(candidates.select("query_idx", "corpus_idx"), f"{scratch(candidates.sparkSession, 'pairs')}/candidates")  # read twice
     rows = candidates.join(queries.select("query_idx", "query_text"), "query_idx").join(corpus.select("corpus_idx", "corpus_text"), "corpus_idx")
     texts = rows.select("query_text", "corpus_text").distinct().withColumn("score", rounded(scorer(F.col("query_text"), F.col("corpus_text")).cast("double")))
     return rows.join(texts, ["query_text", "corpus_text"]).select("query_idx", "query_text", "corpus_idx", "corpus_text", "score")

@@ -299,6 +299,25 @@ def link_blocked_per_block(spark, sf_dir):
     return link.link_blocked(*_nations(spark, sf_dir), "region", "nation", mode="per_block")
 
 
+# one candidate of each kind out of all rows: most are in another block, whose lowest row stands in then
+_NARROW_SQL = (
+    _scored(_BLOCKS, 1)
+    + _BEST
+    + ", bmap AS (SELECT query_text AS query_block, match_text AS match_block, score AS block_score FROM q LEFT JOIN best USING (query_idx)),"
+    + "near_rows AS (SELECT query_idx, corpus_idx FROM ("
+    + f"WITH {_BLOCKS.replace('q AS (SELECT row_number', 'unused_q AS (SELECT row_number').replace('c AS (SELECT row_number', 'unused_c AS (SELECT row_number').replace('unused_unused', 'unused')}, q AS (SELECT query_idx, query_text FROM bq), c AS (SELECT corpus_idx, corpus_text FROM bc), {_sparse(1)}, {_dense(1)} SELECT query_idx, corpus_idx FROM lexical UNION SELECT query_idx, corpus_idx FROM near)),"
+    + """inside AS (SELECT query_idx, corpus_idx FROM near_rows JOIN bq USING (query_idx) JOIN bmap USING (query_block) JOIN bc USING (corpus_idx) WHERE corpus_block = match_block),
+spare AS (SELECT query_idx, min(corpus_idx) AS corpus_idx FROM bq JOIN bmap USING (query_block) JOIN bc ON corpus_block = match_block WHERE query_idx NOT IN (SELECT query_idx FROM inside) GROUP BY 1),
+picked AS (SELECT * FROM inside UNION ALL SELECT * FROM spare)"""
+    + f" SELECT query_idx, bq.query_block, query_text AS query_detail, corpus_idx AS match_idx, match_block, corpus_text AS match_detail, block_score, {_LEV} AS detail_score FROM picked JOIN bq USING (query_idx) JOIN bmap USING (query_block) JOIN bc USING (corpus_idx) QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY {_LEV} DESC, corpus_idx) = 1"
+)
+
+
+@query(_NARROW_SQL)
+def link_blocked_fallback(spark, sf_dir):
+    return link.link_blocked(*_nations(spark, sf_dir), "region", "nation", retrieval_top_k=1, overfetch=1)
+
+
 # code lists -------------------------------------------------------------------------------------
 
 _UNIFIED = """u AS (SELECT p_name AS title, p_type AS description, CASE WHEN p_size <= 25 THEN 'historical' ELSE 'modern' END AS era, p_brand AS canonical_code,

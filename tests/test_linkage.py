@@ -161,3 +161,12 @@ def test_stream_of_queries(spark, tmp_path):
     run.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.query_idx, r.match_idx) for r in got.collect()} == {(0, 0), (1, 1)}
+
+
+def test_models_say_what_they_need(spark):
+    from kinfold.operators.models import transformer_encoder, transformer_scorer
+
+    rows = spark.createDataFrame([("a", "b")], "a string, b string")
+    for column in (transformer_encoder("m")(F.col("a")), transformer_scorer("m")(F.col("a"), F.col("b"))):
+        with pytest.raises(Exception, match="sentence-transformers on every worker"):
+            rows.select(column).collect()
