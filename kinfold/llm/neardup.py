@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import batches as B
+from kinfold.llm import membership
 from kinfold.llm import words as W
 from kinfold.operators.components import components
 from kinfold.plans.shared import scratch, written
@@ -341,7 +342,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS)
 
     Rows without a doc_id all stay.
     """
-    gone = near_duplicates(docs, threshold, bands).select(F.col("doc_id").alias("gone_id"))
-    with_id = docs.where("doc_id is not null")
-    kept = with_id.join(gone, with_id["doc_id"] == gone["gone_id"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    at = scratch(docs.sparkSession, "kept")
+    gone = near_duplicates(docs, threshold, bands).select("doc_id", F.lit(True).alias("goes"))
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(False).alias("goes"))
+    special = written(gone.union(again), f"{at}/special")
+    maybe, unchanged = membership.split(docs, special.select("doc_id"))
+    key = membership.unused(docs, "gone_id")
+    rest = maybe.join(special.where("goes").select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id") == F.col(key), "left_anti")
+    return rest.dropDuplicates(["doc_id"]).unionByName(unchanged)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import batches as B
-from kinfold.llm import bwt
+from kinfold.llm import bwt, membership
 from kinfold.llm import words as W
 from kinfold.plans.shared import scratch, written
 
@@ -284,46 +284,55 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coll
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     met = docs.mapInArrow(_anchored(length, gram), "anchor long, segment long, doc_id long, place long").repartition("anchor").mapInArrow(_met(length), "doc_id long, start long, end long, anchor long")
     marks = written(met, f"{at}/marks")
-    wanted = marks.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
-    segments = docs.join(wanted, "doc_id").mapInArrow(_cut_out, "anchor long, doc_id long, start long, symbols binary")
+    compare = marks.where("anchor is not null")
+    maybe, _ = membership.split(docs, compare.select("doc_id"))
+    wanted = compare.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
+    segments = maybe.join(wanted, "doc_id").mapInArrow(_cut_out, "anchor long, doc_id long, start long, symbols binary")
     windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_suffixes(length, at, collection, spool), "doc_id long, start long, end long")
     spans = marks.where(f"anchor is null and end - start >= {length}").select("doc_id", "start", "end").union(windows)
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_merged, "doc_id long, start_word long, n_words long")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in W.slices(big, "text"):
-            text, spans = W.column(batch, "text"), W.column(batch, "spans").to_pylist()
-            changed = [i for i, s in enumerate(spans) if s]
-            buf, offsets = W.text_buffers(text)
-            starts, ends, doc = W.word_spans(buf, offsets)
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            data = buf.tobytes()
-            texts = text.to_pylist() if changed else None
-            gone = np.zeros(batch.num_rows, bool)
+def _without(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in W.slices(big, "text"):
+                yield _cut_batch(batch, name)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    text, spans = W.column(batch, "text"), W.column(batch, name).to_pylist()
+    changed = [i for i, s in enumerate(spans) if s]
+    buf, offsets = W.text_buffers(text)
+    starts, ends, doc = W.word_spans(buf, offsets)
+    first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    data = buf.tobytes()
+    texts = text.to_pylist() if changed else None
+    gone = np.zeros(batch.num_rows, bool)
+    for i in changed:
+        a, b = int(first[i]), int(first[i + 1])
+        parts, at = [], int(offsets[i])
+        for s in sorted(spans[i], key=lambda s: s["start_word"]):
+            low, high = a + s["start_word"], min(a + s["start_word"] + s["n_words"], b)
+            if low >= b:
+                continue
+            parts.append(data[at : starts[low]])
+            at = int(starts[high]) if high < b else int(offsets[i + 1])
+        parts.append(data[at : offsets[i + 1]])
+        texts[i] = b"".join(parts).decode("utf-8")
+        gone[i] = not texts[i].strip()
+    columns = {n: W.column(batch, n) for n in batch.schema.names if n != name}
+    if changed:
+        columns["text"] = pa.array(texts, text.type)
+        if "n_chars" in columns:
+            chars = columns["n_chars"].to_pylist()
             for i in changed:
-                a, b = int(first[i]), int(first[i + 1])
-                parts, at = [], int(offsets[i])
-                for s in sorted(spans[i], key=lambda s: s["start_word"]):
-                    low, high = a + s["start_word"], min(a + s["start_word"] + s["n_words"], b)
-                    if low >= b:
-                        continue
-                    parts.append(data[at : starts[low]])
-                    at = int(starts[high]) if high < b else int(offsets[i + 1])
-                parts.append(data[at : offsets[i + 1]])
-                texts[i] = b"".join(parts).decode("utf-8")
-                gone[i] = not texts[i].strip()
-            columns = {n: W.column(batch, n) for n in batch.schema.names if n != "spans"}
-            if changed:
-                columns["text"] = pa.array(texts, text.type)
-                if "n_chars" in columns:
-                    chars = columns["n_chars"].to_pylist()
-                    for i in changed:
-                        chars[i] = len(texts[i])
-                    columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
-            out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-            yield out.filter(pa.array(~gone)) if gone.any() else out
+                chars[i] = len(texts[i])
+            columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
+    out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return out.filter(pa.array(~gone)) if gone.any() else out
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -332,6 +341,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     ``n_chars`` is brought up to date in documents that lose text. All other rows are unchanged, those
     without a doc_id too.
     """
-    spans = repeated_spans(docs, length, gram).groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    with_spans = docs.join(spans, docs["doc_id"] == spans["span_id"], "left").select(*[docs[c] for c in docs.columns], "spans")
-    return with_spans.mapInArrow(_without, docs.schema)
+    spans = written(repeated_spans(docs, length, gram), f"{scratch(docs.sparkSession, 'repeats')}/spans")
+    maybe, unchanged = membership.split(docs, spans.select("doc_id"))
+    name, key = membership.unused(docs, "spans"), membership.unused(docs, "span_id")
+    by_doc = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(name))
+    joined = maybe.join(by_doc, F.col("doc_id") == F.col(key), "left").drop(key)
+    return joined.mapInArrow(_without(name), docs.schema).unionByName(unchanged)
