@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm import batches as B
 from kinfold.llm import words as W
 
 BITS = 1 << 25
@@ -45,7 +46,7 @@ def split(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = BITS
     """
     of = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).where("id is not null")
     full = np.zeros(bits // 8, dtype=np.uint8)
-    for p in of.repartition(TASKS).mapInArrow(_built(bits), "bits binary").collect():
+    for p in of.repartition(TASKS).mapInArrow(B.released(_built(bits)), "bits binary").collect():
         full |= np.frombuffer(zlib.decompress(bytes(p.bits)), np.uint8)
     bloom = rows.sparkSession.sparkContext.broadcast(full)
 

@@ -317,21 +317,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     spark = docs.sparkSession
     at = scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, f1 long, f2 long, n long, regs binary"), f"{at}/sketches")
+    sketches = written(docs.mapInArrow(B.released(_sketch), "doc_id long, f1 long, f2 long, n long, regs binary"), f"{at}/sketches")
     copies = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "regs"), "doc_id").alias("s"))
     reps = written(copies.select(F.col("rep").alias("doc_id"), "s.n", "s.regs", "f1", "f2"), f"{at}/reps")
-    buckets = reps.select("doc_id", "regs").mapInArrow(_banded(bands), "key long, doc_id long").repartition("key").mapInArrow(_buckets, "bucket long, doc_id long").distinct()
-    compared = buckets.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compared(threshold), "a long, b long")
+    buckets = reps.select("doc_id", "regs").mapInArrow(B.released(_banded(bands)), "key long, doc_id long").repartition("key").mapInArrow(B.released(_buckets), "bucket long, doc_id long").distinct()
+    compared = buckets.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(B.released(_compared(threshold)), "a long, b long")
     edges = written(compared.distinct(), f"{at}/edges")
     ends = written(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{at}/ends")
     if ends.count() <= few:
         ids = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in ends.collect()], dtype=np.int64)))
-        sets = docs.mapInArrow(_sets(ids), "doc_id long, shingles binary")
+        sets = docs.mapInArrow(B.released(_sets(ids)), "doc_id long, shingles binary")
     else:
-        sets = docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(), "doc_id long, shingles binary")
+        sets = docs.join(ends, "doc_id", "left_semi").mapInArrow(B.released(_sets()), "doc_id long, shingles binary")
     sets = written(sets, f"{at}/sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verified(threshold), "a long, b long")
+    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(B.released(_verified(threshold)), "a long, b long")
     same = sketches.select("doc_id", "f1", "f2").join(reps.select("f1", "f2", F.col("doc_id").alias("rep")), ["f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     grouped = components(pairs.union(same))
     return grouped.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))

@@ -156,7 +156,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
     pieces = sizes.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}"))).alias("chunk", "piece"))
     pieces = pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), (F.col("piece") * capacity).cast("long").alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("size"))
     by = [F.col("size").desc(), F.col("doc_id"), F.col("chunk")]
-    items = written(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_numbered, "item long, doc_id long, chunk long, start long, size long"), f"{at}/items")
+    items = written(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(B.released(_numbered), "item long, doc_id long, chunk long, start long, size long"), f"{at}/items")
     # no two that fill more than half fit together
     half = capacity // 2
     own = items.where(f"size > {half}")
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
     turn, left = 1, state.count()
     while left > one_task:
         order = ["value", "kind", "id"]
-        swept = written(state.select("kind", "value", "id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, _OUT), f"{at}/sweep-{turn}")
+        swept = written(state.select("kind", "value", "id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(B.released(_swept), _OUT), f"{at}/sweep-{turn}")
         found = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least")).collect()
         counts = {p: tuple(sum(r["n"] for r in found if (r["part"], r["kind"]) == (p, k)) for k in (0, 1)) for p in {r["part"] for r in found}}
         pairs = across(counts)
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
         left, turn = state.count(), turn + 1
         if number[0] - across_n - k == 0:
             state, left = state.where("kind = 0"), 0
-    last = state.withColumn("turn", F.lit(turn)).coalesce(1).mapInArrow(_finished(capacity), "id long, bin long, turn int")
+    last = state.withColumn("turn", F.lit(turn)).coalesce(1).mapInArrow(B.released(_finished(capacity)), "id long, bin long, turn int")
     placed.append(written(last, f"{at}/last"))
     every = placed[0]
     for more in placed[1:]:

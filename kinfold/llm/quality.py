@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm import batches as B
 from kinfold.llm.words import column
 
 #: (bytes below, least ratio, largest ratio); short texts carry the frame's fixed costs.
@@ -99,7 +100,7 @@ def quality(docs: DataFrame, chunk: int = CHUNK, bands=BANDS, most_bad: float =
     ``empty`` (both rejected); a null doc_id stays null. Repeated rows are judged each by itself. An
     empty table gives an empty table. Texts of any length are read whole.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judged(chunk, bands, most_bad, level), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.released(_judged(chunk, bands, most_bad, level)), SCHEMA)
 
 
 def _verdicts(chunk: int, bands, most_bad: float, level: int):
@@ -114,4 +115,4 @@ def _verdicts(chunk: int, bands, most_bad: float, level: int):
 
 def keep_good(docs: DataFrame, chunk: int = CHUNK, bands=BANDS, most_bad: float = MOST_BAD_CHUNKS, level: int = LEVEL) -> DataFrame:
     """The rows of ``docs`` with the verdict ``keep``, all their columns unchanged, in one pass without a join."""
-    return docs.mapInArrow(_verdicts(chunk, bands, most_bad, level), docs.schema)
+    return docs.mapInArrow(B.released(_verdicts(chunk, bands, most_bad, level)), docs.schema)

@@ -282,15 +282,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coll
     spark = docs.sparkSession
     at = scratch(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    met = docs.mapInArrow(_anchored(length, gram), "anchor long, segment long, doc_id long, place long").repartition("anchor").mapInArrow(_met(length), "doc_id long, start long, end long, anchor long")
+    met = docs.mapInArrow(B.released(_anchored(length, gram)), "anchor long, segment long, doc_id long, place long").repartition("anchor").mapInArrow(B.released(_met(length)), "doc_id long, start long, end long, anchor long")
     marks = written(met, f"{at}/marks")
     compare = marks.where("anchor is not null")
     maybe, _ = membership.split(docs, compare.select("doc_id"))
     wanted = compare.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
-    segments = maybe.join(wanted, "doc_id").mapInArrow(_cut_out, "anchor long, doc_id long, start long, symbols binary")
-    windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_suffixes(length, at, collection, spool), "doc_id long, start long, end long")
+    segments = maybe.join(wanted, "doc_id").mapInArrow(B.released(_cut_out), "anchor long, doc_id long, start long, symbols binary")
+    windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_suffixes(length, at, collection, spool)), "doc_id long, start long, end long")
     spans = marks.where(f"anchor is null and end - start >= {length}").select("doc_id", "start", "end").union(windows)
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_merged, "doc_id long, start_word long, n_words long")
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(B.released(_merged), "doc_id long, start_word long, n_words long")
 
 
 def _without(name: str):
@@ -346,4 +346,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     name, key = membership.unused(docs, "spans"), membership.unused(docs, "span_id")
     by_doc = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(name))
     joined = maybe.join(by_doc, F.col("doc_id") == F.col(key), "left").drop(key)
-    return joined.mapInArrow(_without(name), docs.schema).unionByName(unchanged)
+    return joined.mapInArrow(B.released(_without(name)), docs.schema).unionByName(unchanged)
