@@ -1,11 +1,15 @@
-"""Interpolated modified Kneser-Ney model of the corpus' bytes, and perplexities under it.
-
-Symbols are bytes of UTF-8, so the model has no unknown word in any language and its n-grams level
-off as the corpus grows: workers can map it into memory at any size of the corpus. All of the corpus
-is counted: tasks count in place and combine before the shuffle, Spark adds up, and lower orders,
-discounts, back-off weights and interpolated probabilities are grouped and joined as DataFrames. The
-result is stored as arrays sorted by a 64-bit hash of the n-gram (a bijection of its bytes, so
-nothing collides), in shards by the leading bits.
+"""Interpolated modified Kneser-Ney models of the corpus, and perplexities under them.
+
+``perplexities`` counts word trigrams of all of the corpus, so the model grows with the text. Words
+are maximal runs that are not white space, known by a 64-bit hash of which the last byte is the
+length (56 bits tell words of one length apart); n-grams by a hash of which a shard compares 48 bits. Below single words, a word
+is spelled from bytes that are equally likely, so no word is unknown. Each order is one shuffle:
+tasks count in place, a shard has all n-grams of its contexts, sums their counts, stores them as
+sorted hash arrays and hands what continues to the order below. There are as many shards as the text
+needs, and a scorer opens one at a time. White space between words isn't modelled.
+
+``train`` and ``score`` have the same model over bytes (order 6), which is small at any size of the
+corpus: for held-out text of any script where that is enough.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +31,12 @@ ORDER = 6
 START, STOP = 2, 3
 SHARD_BITS = 3
 _KEEP = 1 << 22
+#: Order of the model of words, and bytes of text to a shard of it.
+WORDS = 3
+WORD_SHARD = 8 << 20
+WORD_START, WORD_STOP = np.uint64(0), np.uint64(1 << 8)
+#: Bytes that a word can have, and its end.
+BYTES_AND_END = 256 - len(W.SPACE) + 1
 
 
 def windows(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,6 +298,279 @@ def score(docs: DataFrame, model: tuple[str, dict[tuple[str, int], int]], order:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(folder, files, order), "doc_id long, n_symbols long, log_prob double, perplexity double")
 
 
-def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Trains on the whole table and scores each of its rows."""
-    return score(docs, train(docs, order), order)
+# word n-grams
+
+
+def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word; characters from U+3000 on (scripts without spaces) are words by themselves."""
+    starts, ends, doc = W.word_spans(buf, offsets)
+    lead = np.flatnonzero(buf >= 0xE3)
+    if not len(lead):
+        return starts, ends, doc
+    cuts = np.union1d(lead, lead + 3 + (buf[lead] >= 0xF0))
+    of = np.searchsorted(starts, cuts, side="right") - 1
+    inside = (of >= 0) & (cuts < ends[of])
+    every = np.union1d(starts, cuts[inside])
+    of = np.searchsorted(starts, every, side="right") - 1
+    return every, np.minimum(ends[of], np.append(every[1:], len(buf))), doc[of]
+
+
+def word_windows(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words (a hash, its last byte the word's length) of the n-grams that end in each word and stop, one array a place, and their rows.
+
+    Rows that are null have none.
+    """
+    buf, offsets = W.text_buffers(column)
+    starts, ends, doc = spans(buf, offsets)
+    words = (W.word_hashes(buf, starts, ends) & ~np.uint64(255)) | np.minimum(ends - starts, 255).astype(np.uint64)
+    rows = np.flatnonzero(B.not_null(column))
+    n = np.bincount(doc, minlength=len(column))[rows] if len(doc) else np.zeros(len(rows), np.int64)
+    last = np.cumsum(n + order)
+    flat = np.full(int(last[-1]) if len(last) else 0, WORD_START, dtype=np.uint64)
+    begin = last - n - order
+    flat[np.arange(len(words)) + np.repeat(begin + order - 1 - (np.cumsum(n) - n), n)] = words
+    flat[last - 1] = WORD_STOP
+    at = np.arange(n.sum() + len(n)) + np.repeat(begin - (np.cumsum(n + 1) - n - 1), n + 1)
+    return [flat[at + j] for j in range(order)], np.repeat(rows, n + 1)
+
+
+def chained(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """64-bit hash of n words in order."""
+    out = np.full(n, len(columns), dtype=np.uint64)
+    for c in columns:
+        out = W.mix(out * np.uint64(0x9E3779B97F4A7C15) + c)
+    return out
+
+
+def _shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
+    """By context, so that a context's n-grams are together; words by themselves."""
+    key = columns[:-1] or columns
+    return (chained(key, len(key[0])) % np.uint64(shards)).astype(np.int64)
+
+
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Different n-grams, their counts and hashes, by hash."""
+    grams = chained(columns, len(n))
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(first) else n, grams[first]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """int64 by bytes of equal weight, which compress well."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _packed(columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard with its n-grams and counts: a list of words, and the n-grams as places in it, in order."""
+    words, places = np.unique(np.concatenate(columns), return_inverse=True)
+    places = places.reshape(len(columns), -1)
+    if len(words).bit_length() * len(columns) < 64:
+        key = places[0].astype(np.uint64)
+        for c in places[1:]:
+            key = (key << np.uint64(len(words).bit_length())) | c.astype(np.uint64)
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(places[::-1])
+    shard = _shard_of([c[order] for c in columns], shards)
+    by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    order, shard = order[by], shard[by]
+    cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for a, b in zip(cuts, cuts[1:]):
+        part = places[:, order[a:b]]
+        if part.size * 8 < len(words):
+            used, own = np.unique(part, return_inverse=True)
+            own = own.reshape(part.shape)
+        else:
+            seen = np.zeros(len(words), bool)
+            seen[part] = True
+            used, own = np.flatnonzero(seen), (np.cumsum(seen) - 1)[part]
+        data = [np.int64(len(used)).tobytes(), words[used].tobytes(), _planes(np.diff(own[0], prepend=0)), *map(_planes, own[1:]), _planes(n[order[a:b]])]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int64()), pa.array([pack(b"".join(data))], pa.binary())], ["shard", "data"])
+
+
+def _unpacked(data: bytes, order: int) -> np.ndarray:
+    """Words of each place and, last, the counts (int64 as uint64)."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    used = int(raw[:8].view(np.int64)[0])
+    words = raw[8 : 8 + 8 * used].view(np.uint64)
+    rows = np.ascontiguousarray(raw[8 + 8 * used :].reshape(order + 1, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    return np.stack([words[np.cumsum(rows[0])], *(words[r] for r in rows[1:-1]), rows[-1].view(np.uint64)])
+
+
+def _stored_rows(keys: np.ndarray, values: list[np.ndarray]) -> bytes:
+    """Ascending hashes and what they have: where each leading 16 bits begin, the next 32 bits, a byte a value, values from 255 by themselves."""
+    parts = [np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.uint32), np.array([len(keys)], np.uint32)]
+    parts.append(((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    parts += [np.minimum(v, 255).astype(np.uint8) for v in values]
+    large = [np.flatnonzero(v >= 255) for v in values]
+    for v, at in zip(values, large):
+        parts += [at, v[at]]
+    return b"".join(x.tobytes() for x in [*parts, np.array([len(at) for at in large], np.int64)])
+
+
+def _found_rows(raw: np.ndarray, n: int, width: int, wanted: np.ndarray) -> np.ndarray:
+    """Values of each hash in what ``_stored_rows`` wrote, 0 where there is none."""
+    begin = raw[: 4 * ((1 << 16) + 1)].view(np.uint32)
+    at = begin.nbytes
+    low = raw[at : at + 4 * n].view(np.uint32)
+    at += 4 * n
+    different, of = np.unique(wanted, return_inverse=True)
+    lead = (different >> np.uint64(48)).astype(np.int64)
+    want = ((different >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    lo, stop = begin[lead].astype(np.int64), begin[lead + 1].astype(np.int64)
+    hi = stop.copy()
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi) >> 1, n - 1)
+        open_ = lo < hi
+        less = open_ & (low[mid] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    place = np.minimum(lo, n - 1)
+    hit = (lo < stop) & (low[place] == want)
+    sizes = np.array(raw[len(raw) - 8 * width :]).view(np.int64)
+    rest, out = at + n * width, []
+    for j in range(width):
+        value = np.where(hit, raw[at + n * j + place].astype(np.int64), 0)
+        m = int(sizes[j])
+        if m:
+            where, what = np.array(raw[rest : rest + 8 * m]).view(np.int64), np.array(raw[rest + 8 * m : rest + 16 * m]).view(np.int64)
+            big = np.flatnonzero(value == 255)
+            value[big] = what[np.searchsorted(where, place[big])]
+        rest += 16 * m
+        out.append(value[of])
+    return np.array(out)
+
+
+def _word_counts(order: int, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in W.slices(big, "text", 16 << 20):
+                columns, rows = word_windows(W.column(batch, "text"), order)
+                columns, n, _ = _summed(columns, np.ones(len(rows), np.int64))
+                yield from _packed(columns, n, shards)
+
+    return run
+
+
+def _level(folder: str, order: int, shards: int):
+    """Counts of each shard's n-grams and contexts, in files; rows for the lower order, and with shard -1 - shard the sizes.
+
+    Sizes of the orders above pass through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = fs.FileSystem.from_uri(folder)
+        for table in B.grouped(batches, "shard"):
+            shard = table.column("shard")[0].as_py()
+            if shard < 0:
+                yield from table.to_batches()
+                continue
+            whole = np.concatenate([_unpacked(d.as_py(), order) for d in table.column("data")], axis=1)
+            columns, n, grams = _summed(list(whole[:-1]), whole[-1].view(np.int64))
+            del whole
+            contexts, of = np.unique(chained(columns[:-1], len(n)), return_inverse=True)
+            stats = [np.bincount(of, weights=w, minlength=len(contexts)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
+            with filesystem.open_output_stream(f"{base}/grams-{order}-{shard}") as sink:  # a repeated task writes the same bytes
+                sink.write(_stored_rows(grams, [n]))
+            with filesystem.open_output_stream(f"{base}/contexts-{order}-{shard}") as sink:
+                sink.write(_stored_rows(contexts, stats))
+            sizes = np.array([order, len(grams), len(contexts), *((n == c).sum() for c in (1, 2, 3, 4)), n.sum()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int64()), pa.array([sizes.tobytes()], pa.binary())], ["shard", "data"])
+            if order > 1:
+                lower, m, _ = _summed(columns[1:], np.ones(len(n), np.int64))
+                yield from _packed(lower, m, shards)
+
+    return run
+
+
+def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHARD) -> dict:
+    """Model of the words of the whole ``text`` column: what a scorer needs to open it.
+
+    One shuffle an order. The shards grow in number with the text, not in size.
+    """
+    spark = docs.sparkSession
+    folder = scratch(spark, "words")
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, -(-size // shard_bytes))
+    rows = texts.mapInArrow(B.released(_word_counts(order, shards)), "shard long, data binary")
+    for k in range(order, 0, -1):
+        rows = rows.repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int")).sortWithinPartitions("shard").mapInArrow(B.released(_level(folder, k, shards)), "shard long, data binary")
+    sizes, cut = {}, {}
+    found = [(-1 - r.shard, np.frombuffer(r.data, np.int64).tolist()) for r in rows.collect()]
+    for k in range(order, 0, -1):
+        level = [(s, v[1:]) for s, v in found if v[0] == k]
+        sizes.update({(k, s): (v[0], v[1]) for s, v in level})
+        sums = np.sum([v for _, v in level], axis=0).tolist() if level else [0] * 7
+        cut[k] = discounts(sums[2:6])
+    once, twice = sums[2], sums[3]
+    spare = once * cut[1][0] + twice * cut[1][1] + (sums[0] - once - twice) * cut[1][2]
+    return {"folder": folder, "order": order, "shards": shards, "sizes": sizes, "discounts": cut, "total": sums[6], "weight": spare / sums[6] if sums[6] else 1.0}
+
+
+class WordModel:
+    """What a worker sees of a model of words: one shard at a time."""
+
+    def __init__(self, model: dict):
+        self.__dict__.update(model)
+        self.filesystem, self.base = fs.FileSystem.from_uri(self.folder)
+
+    def _rows(self, name: str, n: int, width: int, wanted: np.ndarray) -> np.ndarray:
+        """Values of each hash, 0 where there is none."""
+        if not n:
+            return np.zeros((width, len(wanted)), np.int64)
+        path = f"{self.base}/{name}"
+        if isinstance(self.filesystem, fs.LocalFileSystem):
+            return _found_rows(np.memmap(path, dtype=np.uint8, mode="r"), n, width, wanted)
+        with self.filesystem.open_input_stream(path) as source:
+            return _found_rows(np.frombuffer(source.read(), dtype=np.uint8), n, width, wanted)
+
+    def p(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of the last word of each n-gram after the others, interpolated from the bytes of the word up."""
+        out = float(BYTES_AND_END) ** -((columns[-1] & np.uint64(255)).astype(np.float64) + 1)
+        for k in range(1, self.order + 1):
+            part = columns[self.order - k :]
+            d1, d2, d3 = self.discounts[k]
+            shard = _shard_of(part, self.shards)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            grams, contexts = chained(part, len(out)), chained(part[:-1], len(out))
+            for a, b in zip(cuts, cuts[1:]):
+                at, s = order[a:b], int(shard[order[a]])
+                n_grams, n_contexts = self.sizes.get((k, s), (0, 0))
+                (n,) = self._rows(f"grams-{k}-{s}", n_grams, 1, grams[at])
+                share = n - np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
+                if k == 1:
+                    out[at] = share / max(self.total, 1) + self.weight * out[at]
+                    continue
+                total, once, twice, more = self._rows(f"contexts-{k}-{s}", n_contexts, 4, contexts[at])
+                known = np.maximum(total, 1)
+                out[at] = np.where(total > 0, (share + (d1 * once + d2 * twice + d3 * more) * out[at]) / known, out[at])
+        return out
+
+
+def _words_scored(model: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = WordModel(model)
+        for big in batches:
+            for batch in W.slices(big, "text", 8 << 20):
+                text = W.column(batch, "text")
+                columns, row = word_windows(text, model["order"])
+                total = np.bincount(row, weights=np.log(opened.p(columns)), minlength=batch.num_rows)
+                size = np.diff(W.text_buffers(text)[1]) + 1
+                none = ~B.not_null(text)
+                yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array(size, pa.int64(), mask=none), pa.array(total, mask=none), pa.array(np.exp(-total / size), mask=none)], ["doc_id", "n_symbols", "log_prob", "perplexity"])
+
+    return run
+
+
+def score_words(docs: DataFrame, model: dict) -> DataFrame:
+    """As ``score``, under a model of words: ``log_prob`` is that of the words and the stop, ``n_symbols`` still bytes and stop."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.released(_words_scored(model)), "doc_id long, n_symbols long, log_prob double, perplexity double")
+
+
+def perplexities(docs: DataFrame, order: int = WORDS) -> DataFrame:
+    """Trains on the words of the whole table and scores each of its rows; perplexity is by byte."""
+    return score_words(docs, train_words(docs, order))

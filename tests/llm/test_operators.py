@@ -276,6 +276,86 @@ def test_held_out_text_is_likelier_than_noise(spark):
     assert max(got[:20]) < min(got[20:])
 
 
+def brute_word_p(texts, order):
+    """The model of words again, by dictionaries."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        s = ["<s>"] * (order - 1) + t.split() + [""]
+        counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cut = {k: ngrams.discounts([sum(n == c for n in counts[k].values()) for c in (1, 2, 3, 4)]) for k in counts}
+    total, spare = collections.Counter(), collections.Counter()
+    for k in counts:
+        for g, n in counts[k].items():
+            total[k, g[:-1]] += n
+            spare[k, g[:-1]] += cut[k][min(n, 3) - 1]
+
+    def p(g, word):
+        if not g:
+            return 251.0 ** -(len(word.encode()) + 1)
+        k, x = len(g), g[:-1]
+        if (k, x) not in total:
+            return p(g[1:], word)
+        n = counts[k].get(g, 0)
+        return ((n - cut[k][min(n, 3) - 1] if n else 0) + spare[k, x] * p(g[1:], word)) / total[k, x]
+
+    return p
+
+
+def test_word_model(spark):
+    texts = [*random_texts(12, 60, 40), "", "the cat  sat\non the mat", "ÄÖ cat"]
+    others = ["the cat on", "neverseen w0 xyz", " "]
+    p = brute_word_p(texts, 3)
+    model = ngrams.train_words(docs(spark, [*texts, None]), 3, 100)
+    assert model["shards"] > 8
+    for r, t in zip(sorted(ngrams.score_words(docs(spark, texts + others), model).collect()), texts + others):
+        s = ["<s>"] * 2 + t.split() + [""]
+        assert r.log_prob == pytest.approx(sum(math.log(p(tuple(s[i : i + 3]), s[i + 2])) for i in range(len(s) - 2)))
+        assert r.n_symbols == len(t.encode()) + 1 and r.perplexity == pytest.approx(math.exp(-r.log_prob / r.n_symbols))
+
+
+def test_word_counts_are_packed_and_found():
+    rng = np.random.default_rng(14)
+    columns = [rng.integers(0, 2**64, 5, dtype=np.uint64)[rng.integers(0, 5, 3000)] for _ in range(3)]
+    columns, n, grams = ngrams._summed(columns, rng.integers(1, 400, 3000))
+    rows = {}
+    for b in ngrams._packed(columns, n, 4):
+        *words, m = ngrams._unpacked(b.column(1)[0].as_py(), 3)
+        rows.update(zip(zip(*(w.tolist() for w in words)), m.tolist()))
+    assert rows == dict(zip(zip(*(c.tolist() for c in columns)), n.tolist()))
+    raw = np.frombuffer(ngrams._stored_rows(grams, [n, n % 7]), np.uint8)
+    wanted = np.concatenate([grams[::-1], grams + np.uint64(1 << 20), np.array([0, 2**64 - 1], np.uint64)])
+    got = ngrams._found_rows(raw, len(n), 2, wanted)
+    assert n.max() > 255 and (got[0][: len(n)] == n[::-1]).all() and (got[1][: len(n)] == n[::-1] % 7).all() and not got[:, len(n) :].any()
+
+
+def test_perplexity_tells_shuffled_words_and_grows_with_the_text(spark):
+    rng = random.Random(13)
+    after = {i: [rng.randrange(300) for _ in range(4)] for i in range(300)}  # prose: each word has four that follow
+
+    def prose(n):
+        out = [rng.randrange(300)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return [f"{chr(97 + w % 26)}{w}word" for w in out]
+
+    held = [prose(100) for _ in range(10)]
+    mixed = [rng.sample(w, len(w)) for w in held]
+    model = ngrams.train_words(docs(spark, [" ".join(prose(200)) for _ in range(100)]))
+    got = [r.perplexity for r in sorted(ngrams.score_words(docs(spark, [" ".join(w) for w in held + mixed]), model).collect())]
+    assert max(got[:10]) * 1.2 < min(got[10:])
+    few, many = ([" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(n)] for n in (20, 160))
+    grams = lambda texts: sum(n for (k, _), (n, _) in ngrams.train_words(docs(spark, texts))["sizes"].items() if k == 3)
+    assert grams(many) > 6 * grams(few)
+
+
+def test_words_of_scripts_without_spaces():
+    columns, row = ngrams.word_windows(pa.array(["ab 中文x", None, "", "中文"]), 1)
+    assert row.tolist() == [0] * 5 + [2] + [3] * 3 and (columns[0] & np.uint64(255)).tolist() == [2, 3, 3, 1, 0, 0, 3, 3, 0]
+    assert columns[0][1] == columns[0][6] and columns[0][2] == columns[0][7]
+
+
 # 7 suffix arrays
 
 
