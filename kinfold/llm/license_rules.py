@@ -1,8 +1,8 @@
 """Signature rules for licenses, in order of priority.
 
-One rule a line: priority, license, keyword, regular expression. A rule runs only on texts that have
-its keyword (lower case; it is part of every match). A space in an expression stands for any white
-space. Lower numbers win: 1 full grants and notices with a version, 2 names with a version, 3 tags
+One rule a line: priority, license, keywords, regular expression. A rule runs only on texts that have
+one of its keywords (lower case, "|" between them; every match has one as a part). A space in an
+expression stands for any white space. Lower numbers win: 1 full grants and notices with a version, 2 names with a version, 3 tags
 and links, 4 names without a version, 5 general statements.
 """
 
@@ -58,8 +58,8 @@ TEXT = r"""
 1;CDDL-1.1;common development and distribution;the contents of this file are subject to the terms of .{0,60}common development and distribution license.{0,10}version 1\.1
 1;CDDL-1.0;common development and distribution;the contents of this file are subject to the terms of the common development and distribution license
 1;CPL-1.0;common public license;made available under the terms of the common public license
-1;EUPL-1.2;european union public;licensed under the (?:eupl|european union public licen[cs]e),? (?:version|v\.?) ?1\.2
-1;EUPL-1.1;european union public;licensed under the (?:eupl|european union public licen[cs]e),? (?:version|v\.?) ?1\.1
+1;EUPL-1.2;european union public|eupl;licensed under the (?:eupl|european union public licen[cs]e),? (?:version|v\.?) ?1\.2
+1;EUPL-1.1;european union public|eupl;licensed under the (?:eupl|european union public licen[cs]e),? (?:version|v\.?) ?1\.1
 1;EUPL-1.2;eupl;licensed under the eupl,? (?:version |v\.?)?1\.2
 1;BSL-1.0;boost software;distributed under the boost software license,? version 1\.0
 1;BSL-1.0;boost software;boost software license - version 1\.0 - august 17th, 2003
@@ -239,7 +239,7 @@ TEXT = r"""
 3;ODbL-1.0;opendatacommons.org;https?://(?:www\.)?opendatacommons\.org/licenses/odbl/?(?:1\.0|1-0)?/?
 3;ODC-By-1.0;opendatacommons.org;https?://(?:www\.)?opendatacommons\.org/licenses/by/?(?:1\.0|1-0)?/?
 4;Apache;apache;\bapache licen[cs]e\b
-4;MIT;mit licen;\bmit[- ]licen[cs]ed?\b
+4;MIT;mit licen|mit-licen;\bmit[- ]licen[cs]ed?\b
 4;MIT;expat;\bexpat licen[cs]e\b
 4;ISC;isc licen;\bisc licen[cs]e\b
 4;BSD;bsd;\bbsd[- ](?:style )?licen[cs]ed?\b
@@ -290,7 +290,7 @@ TEXT = r"""
 5;non-commercial;non-commercial;for (?:personal,? )?(?:and )?non-commercial use only
 5;non-commercial;research purposes only;for (?:academic )?research purposes only
 5;educational;educational use only;for educational use only
-5;permission;used with permission;(?:reprinted|reproduced|used) with (?:the )?permission (?:of|from|by)
+5;permission;with permission|with the permission;(?:reprinted|reproduced|used) with (?:the )?permission (?:of|from|by)
 5;dual-license;dual;\bdual[- ]licen[cs]ed under\b
-5;open-source;open source license;\b(?:an? )?(?:osi[- ]approved )?open source licen[cs]e
+5;open-source;open source licen;\b(?:an? )?(?:osi[- ]approved )?open source licen[cs]e
 """

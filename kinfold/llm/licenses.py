@@ -25,7 +25,7 @@ class Rule(NamedTuple):
     number: int
     priority: int
     license: str
-    keyword: str
+    keywords: tuple[str, ...]
     find: object
 
 
@@ -40,8 +40,9 @@ class Found(NamedTuple):
 def rules(text: str = license_rules.TEXT) -> list[Rule]:
     out = []
     for line in filter(None, text.split("\n")):
-        priority, name, keyword, expression = line.split(";", 3)
-        out.append(Rule(len(out), int(priority), name, keyword, re.compile(expression.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE)))
+        priority, name, keywords, expression = line.split(";", 3)
+        expression = expression.replace("[- ]", "(?:-| )").replace("[ -]", "(?:-| )")  # white space in a class would be one character, or a plus
+        out.append(Rule(len(out), int(priority), name, tuple(keywords.split("|")), re.compile(expression.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE)))
     return out
 
 
@@ -58,7 +59,8 @@ class Scanner:
         self.rules = rules(text)
         self.by_keyword: dict[str, list[Rule]] = defaultdict(list)
         for r in self.rules:
-            self.by_keyword[r.keyword].append(r)
+            for k in r.keywords:
+                self.by_keyword[k].append(r)
         self.automaton = ahocorasick.Automaton()
         for k in self.by_keyword:
             self.automaton.add_word(k, k)
@@ -66,7 +68,7 @@ class Scanner:
 
     def candidates(self, text: str) -> list[Rule]:
         met = {k for _, k in self.automaton.iter(folded(text))}
-        return sorted((r for k in met for r in self.by_keyword[k]), key=lambda r: r.number)
+        return sorted({r for k in met for r in self.by_keyword[k]}, key=lambda r: r.number)
 
     def scan(self, text: str, prefilter: bool = True) -> list[Found]:
         found = [Found(*m.span(), r.license, r.number, r.priority) for r in (self.candidates(text) if prefilter else self.rules) for m in r.find.finditer(text) if m.end() > m.start()]

@@ -531,6 +531,40 @@ def test_prefilter_loses_nothing_and_suppression():
         assert all(f in kept or any(inside(f, k) and k.priority <= f.priority for k in kept) for f in every)
 
 
+def sampled(expression, rng):
+    """A string that the regular expression can match; its gaps have line ends too."""
+    out = []
+    for op, arg in expression:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "ANY":
+            out.append(rng.choice("x \n"))
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out.append({"LITERAL": lambda: chr(value), "RANGE": lambda: chr(rng.randint(*value)), "CATEGORY": lambda: {"CATEGORY_SPACE": rng.choice(" \n"), "CATEGORY_DIGIT": "1"}[str(value)]}[str(kind)]())
+        elif op == "BRANCH":
+            out.append(sampled(rng.choice(arg[1]), rng))
+        elif op == "SUBPATTERN":
+            out.append(sampled(arg[3], rng))
+        elif op == "MAX_REPEAT":
+            out += [sampled(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 3)))]
+        else:
+            assert op == "AT", op
+    return "".join(out)
+
+
+def test_every_match_has_a_keyword_of_its_rule():
+    scan, rng = licenses.Scanner(), random.Random(15)
+    for r in scan.rules:
+        texts = [sampled(re._parser.parse(r.find.pattern, re.IGNORECASE), rng) for _ in range(100)]
+        texts = [t for t in texts if r.find.search(t)]
+        assert texts and all(r in scan.candidates(t) for t in texts), r
+    for t in ("MIT-licensed", "reprinted with the permission of", "an open source licence", "Licensed under the EUPL v. 1.2"):
+        assert scan.scan(t) and scan.scan(t) == scan.scan(t, prefilter=False)
+    assert scan.scan("MIT+license") == [] and scan.scan("MIT \n license")[0].license == "MIT"
+
+
 def test_license_table(spark, awkward):
     assert licenses.detections(awkward).count() == 0
     rows = spark.createDataFrame([(1, "MIT License", 0), (1, "MIT License", 1), (None, "under the MIT license", 2)], "doc_id long, text string, rule int")
