@@ -42,7 +42,7 @@ def rules(text: str = license_rules.TEXT) -> list[Rule]:
     for line in filter(None, text.split("\n")):
         priority, name, keywords, expression = line.split(";", 3)
         expression = expression.replace("[- ]", "(?:-| )").replace("[ -]", "(?:-| )")  # white space in a class would be one character, or a plus
-        out.append(Rule(len(out), int(priority), name, tuple(keywords.split("|")), re.compile(expression.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE)))
+        out.append(Rule(len(out), int(priority), name, tuple(keywords.split("|")), re.compile(expression.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE | re.DOTALL)))  # gaps cross line ends
     return out
 
 

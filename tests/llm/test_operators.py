@@ -565,6 +565,22 @@ def test_every_match_has_a_keyword_of_its_rule():
     assert scan.scan("MIT+license") == [] and scan.scan("MIT \n license")[0].license == "MIT"
 
 
+def test_gaps_of_rules_cross_line_ends():
+    scan, rng = licenses.Scanner(), random.Random(16)
+    gaps = [r for r in scan.rules if re.search(r"(?<!\\)\.\{", r.find.pattern)]
+    assert len(gaps) > 10
+    for r in gaps:
+        for _ in range(20):
+            t = re.sub(r"\s", "\n", sampled(re._parser.parse(r.find.pattern, re.IGNORECASE), rng))
+            assert r.find.search(t), r
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so."""
+    assert [f.license for f in scan.scan(grant)] == [f.license for f in scan.scan(" ".join(grant.split()))] and "MIT-0" in [f.license for f in scan.scan(grant)]
+
+
 def test_license_table(spark, awkward):
     assert licenses.detections(awkward).count() == 0
     rows = spark.createDataFrame([(1, "MIT License", 0), (1, "MIT License", 1), (None, "under the MIT license", 2)], "doc_id long, text string, rule int")
