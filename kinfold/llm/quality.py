@@ -2,7 +2,9 @@
 
 The ratio is UTF-8 bytes by compressed bytes, of the whole document and of each fixed chunk. Natural
 prose stays in a band that depends on the length: repetitive text lies above it, random or encoded
-text below. The limits hold for prose in any language and are parameters.
+text below. The limits are parameters. Texts of under 128 bytes can't be judged incompressible, as
+zstandard stores prose and noise alike there, and neither can those of under 256 bytes that aren't
+mostly ASCII: short prose of thousands of characters (Chinese) compresses no better than noise.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ BANDS = (
     (65536, 1.45, 4.5),
     (float("inf"), 1.45, 5.0),
 )
+#: (bytes below, least ratio) for texts that are mostly ASCII: above what random printable bytes and base64 reach.
+ASCII_LEAST = ((128, 0.0), (192, 1.06), (256, 1.14), (512, 1.25), (1024, 1.32))
+MOSTLY = 0.75
+_HIGH = bytes(range(128, 256))
 CHUNK = 4096
 LEVEL = 3
 MOST_BAD_CHUNKS = 0.25
@@ -42,6 +48,12 @@ def band(n: int, bands=BANDS) -> tuple[float, float]:
     return next((low, high) for below, low, high in bands if n < below)
 
 
+def ascii_least(data: bytes) -> float:
+    """Least ratio of a text that is mostly ASCII, 0 for others and for long ones, whose bands tell noise."""
+    least = next((low for below, low in ASCII_LEAST if len(data) < below), 0.0)
+    return least if least and len(data.translate(None, _HIGH)) >= MOSTLY * len(data) else 0.0
+
+
 def judge(text: str | None, pack, chunk: int = CHUNK, bands=BANDS, most_bad: float = MOST_BAD_CHUNKS) -> tuple:
     """(n_bytes, ratio, n_chunks, high_chunks, low_chunks, verdict) of one text; ``pack`` gives the compressed bytes."""
     if text is None:
@@ -65,7 +77,7 @@ def judge(text: str | None, pack, chunk: int = CHUNK, bands=BANDS, most_bad: flo
             below += r < least
     if ratio > high:
         verdict = "repetitive"
-    elif ratio < low:
+    elif ratio < max(low, ascii_least(data)):
         verdict = "incompressible"
     elif above > most_bad * chunks:
         verdict = "repetitive_chunks"

@@ -1,5 +1,6 @@
 """The corpus operators on small tables, against brute force, and on awkward rows."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -166,6 +167,21 @@ def test_quality_rules(spark, awkward):
     assert quality.quality(awkward.where("false")).count() == 0
 
 
+def test_short_noise_is_rejected_and_short_prose_is_not():
+    rng, pack = random.Random(17), quality.packer()
+    verdict = lambda t: quality.judge(t, pack)[-1]
+    for n in (128, 150, 191, 192, 230, 255, 256, 400, 511, 512, 700, 1023):
+        for _ in range(40):
+            assert verdict("".join(chr(33 + rng.randrange(94)) for _ in range(n))) == "incompressible"
+            assert verdict(base64.b64encode(rng.randbytes(n)).decode()[:n]) == "incompressible"
+    english = "It is a truth universally acknowledged, that a single man in possession of a good fortune, must be in want of a wife. However little known the feelings or views of such a man may be on his first entering a neighbourhood, this truth is so well fixed in the minds of the surrounding families, that he is considered the rightful property of some one or other of their daughters."
+    german = "Jemand musste Josef K. verleumdet haben, denn ohne dass er etwas Böses getan hätte, wurde er eines Morgens verhaftet. Die Köchin der Frau Grubach, seiner Zimmervermieterin, die ihm jeden Tag gegen acht Uhr früh das Frühstück brachte, kam diesmal nicht."
+    chinese = "人工智能是计算机科学的一个分支，它企图了解智能的实质，并生产出一种新的能以与人类智能相似的方式做出反应的智能机器。该领域的研究包括机器人、语言识别、图像识别、自然语言处理和专家系统等。"
+    for text in (english, german, chinese):
+        for n in (20, 40, 60, 80, 130, 200, 240):
+            assert all(verdict(text[a : a + n]) == "keep" for a in range(0, len(text) - n, 5) if len(text[a : a + n].encode()) < 256)
+
+
 # 4 pieces
 
 
