@@ -6,12 +6,14 @@ two again from characters gives just these two; if it may not, the next shorter
 if there is none, the last piece is taken back and its end marked as failed in a bitfield, so no
 position fails twice. A cover whose neighbours are all compatible is the merges' own result.
 
-A piece never has a space mark behind another character, so no merge crosses the start of a word:
-words are encoded one by one, and those of the latest texts are remembered by the worker.
+A piece never has a space mark behind another character, so no merge crosses the start of a word,
+and none has to do with a character that is in no longer piece: such characters and the words between
+them are encoded one by one, and those of the latest texts are remembered by the worker.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -54,14 +56,23 @@ class Pieces:
         self.reach: dict[str, int] = {}
         for t, i in self.ids.items():
             if len(t) == 1 or self.merge(t) == [i]:  # the others are never the result of merges
-                self.automaton.add_word(t, len(t))
+                self.automaton.add_word(t, i)
                 self.reach[t] = i
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str] = {}
+        self.single = frozenset(c for c in self.alphabet if c in self.reach)
+        self.fits: dict[int, bool] = {}
+        self.sizes = [len(t) for t in self.texts]
+        #: Of each piece, the longest other that starts it.
+        self.shorter = [next((self.reach[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.reach), -1) for t in self.texts]
+        self.pairs = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
+        # characters of longer pieces; nothing merges with any other, which is a word by itself
+        joint = "".join(sorted({c for t in self.ids if len(t) > 1 for c in t} - {MARK}))
+        self.words = re.compile(f"{MARK}+[{re.escape(joint)}]*|[{re.escape(joint)}]+|.", re.DOTALL).findall if joint else list
 
     def merge(self, text: str) -> list[int | None]:
         """Pieces by merging: of all neighbours that make a piece the best, the leftmost of equals. None: a character that is no piece."""
+        if len(text) > 48:
+            return self._merge_long(text)
         parts, ids, scores = list(text), self.ids, self.scores
         while len(parts) > 1:
             best, at = None, -1
@@ -74,51 +85,67 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ids.get(p) for p in parts]
 
-    def compatible(self, a: str, b: str) -> bool:
-        found = self.fits.get((a, b))
+    def _merge_long(self, text: str) -> list[int | None]:
+        """The same with a heap of neighbours, for texts of any length."""
+        parts: list[str | None] = list(text)
+        n, ids, scores = len(parts), self.ids, self.scores
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-scores[i], k, i) for k in range(n - 1) if (i := ids.get(text[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, i = heapq.heappop(heap)
+            right = after[k]
+            if parts[k] is None or right >= n or len(parts[k]) + len(parts[right]) != len(self.texts[i]) or parts[k] + parts[right] != self.texts[i]:
+                continue  # one of the two has changed since
+            parts[k], parts[right] = self.texts[i], None
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+            for left, other in ((before[k], k), (k, right)):
+                if left >= 0 and other < n and (i := ids.get(parts[left] + parts[other])) is not None:
+                    heapq.heappush(heap, (-scores[i], left, i))
+        return [ids.get(p) for p in parts if p is not None]
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether merging the characters of the two pieces again gives just these two."""
+        found = self.fits.get(a << 32 | b)
         if found is None:
             if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            found = self.fits[a, b] = self.merge(a + b) == [self.ids[a], self.ids[b]]
-        return found
-
-    def prefix(self, piece: str) -> str:
-        """The longest piece that starts this one, empty if none."""
-        found = self.shorter.get(piece)
-        if found is None:
-            found = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.reach), "")
-            self.shorter[piece] = found
+            found = self.fits[a << 32 | b] = self.merge(self.texts[a] + self.texts[b]) == [a, b]
         return found
 
     def cover(self, text: str) -> list[int] | None:
         """Pieces of a text whose characters are all pieces."""
         n = len(text)
-        longest = [0] * (n + 1)
-        for end, size in self.automaton.iter(text):
-            if size > longest[end + 1 - size]:
-                longest[end + 1 - size] = size
-        open_ = (1 << (n + 1)) - 1  # bit i: no failure known from position i
-        stack: list[str] = []
-        at, piece = 0, text[: longest[0]]
+        sizes, shorter, fits = self.sizes, self.shorter, self.fits
+        longest = [-1] * (n + 1)
+        for end, i in self.automaton.iter(text):  # by end, so the last of a start is its longest
+            longest[end + 1 - sizes[i]] = i
+        failed = bytearray((n >> 3) + 1)  # a bit for each position from which no cover goes on
+        stack: list[int] = []
+        at, last, i = 0, -1, longest[0]
         while at < n:
-            last = stack[-1] if stack else None
-            while piece:
-                end = at + len(piece)
-                if open_ >> end & 1 and (last is None or self.compatible(last, piece)):
-                    break
-                piece = self.prefix(piece)
-            if piece:
-                stack.append(piece)
-                at = end
-                piece = text[at : at + longest[at]]
-            elif last is None:
+            while i >= 0:
+                end = at + sizes[i]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fit = fits.get(last << 32 | i)
+                    if fit or fit is None and self.compatible(last, i):
+                        break
+                i = shorter[i]
+            if i >= 0:
+                stack.append(i)
+                at, last, i = end, i, longest[end]
+            elif last < 0:
                 return None
             else:
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
+                at, i = at - sizes[last], shorter[last]
                 stack.pop()
-                at -= len(last)
-                piece = last
-        return [self.ids[p] for p in stack]
+                last = stack[-1] if stack else -1
+        return stack
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word, its space marks in front."""
@@ -162,9 +189,11 @@ class Pieces:
         return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
     def _known(self, word: str) -> list[int]:
+        reach = self.reach
+        if self.single.issuperset(word):
+            return self.cover(word)
         out: list[int] = []
         start = 0
-        reach = self.reach
         for k, c in enumerate(word):
             if c not in reach:
                 if c in self.alphabet:  # only within longer pieces: leave it to the merges
@@ -190,9 +219,6 @@ def _each_byte(error: UnicodeError):
 
 __import__("codecs").register_error("each_byte", _each_byte)
 
-_SPLIT = re.compile(f"\\n|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+").findall
-
-
 class Encoder(dict):
     """word -> int32 ids as bytes, remembered up to ``most`` words."""
 
@@ -201,7 +227,13 @@ class Encoder(dict):
         self.pieces, self.most = Pieces(path), most
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.pieces.encode_word(word), dtype=np.int32).tobytes()
+        # no merge crosses two neighbours that no piece has
+        pairs = self.pieces.pairs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        if cuts:
+            found = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
+        else:
+            found = np.array(self.pieces.encode_word(word), dtype=np.int32).tobytes()
         if len(word) <= LONG:
             if len(self) >= self.most:
                 self.clear()
@@ -209,7 +241,7 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPLIT(MARK + text.replace(" ", MARK)))) if text else b""
+        return b"".join(map(self.__getitem__, self.pieces.words(MARK + text.replace(" ", MARK)))) if text else b""
 
 
 _MADE: dict[tuple[str, int], Encoder] = {}
