@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from pyspark.sql.window import Window
 from kinfold.functions.text import as_text, concat_key
 from kinfold.operators import dense, sparse
 from kinfold.operators.ranking import Scorer, best_match, levenshtein_ratio, pair_scores, union_candidates
-from kinfold.plans.shared import scratch, written
+from kinfold.plans.shared import collected, remove, scratch, written
+from kinfold.sources.tables import positional
 
 TOP_K = 20
+Encoder = Callable[[Column], Column]
 
 
 def keyed(rows: DataFrame, idx: str, column: str | None, columns: Sequence[str] | None, prefix: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -22,27 +25,60 @@ def keyed(rows: DataFrame, idx: str, column: str | None, columns: Sequence[str]
     return rows.select(F.col(idx).cast("long").alias(f"{prefix}_idx"), text.alias(f"{prefix}_text"), *extra)
 
 
-def candidates(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: str | None = None, encoder=dense.hashed_ngrams, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES) -> DataFrame:
-    """``(query_idx, corpus_idx)``: the k nearest by embedding and the k nearest by n-grams, together.
+class Index(NamedTuple):
+    """A fitted corpus: look-ups read it as often as they like. ``close`` removes its tables."""
+
+    corpus: DataFrame
+    sparse: sparse.SparseIndex
+    dense: str | None
+    texts: DataFrame | None
+    by: str | None
+    encoder: Encoder | None
+    uris: tuple[str, ...]
+
+    def close(self) -> None:
+        for uri in self.uris:
+            remove(uri)
+
 
-    Inputs are ``(query_idx, query_text, by)`` and ``(corpus_idx, corpus_text, by)``. Embeddings are of
-    different texts; ``encoder=None`` leaves the dense side out.
+def fit(corpus: DataFrame, by: str | None = None, encoder: Encoder | None = dense.hashed_ngrams, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES, vector: str | None = None) -> Index:
+    """Index of ``(corpus_idx, corpus_text, by)``: n-grams and embeddings of the different texts.
+
+    ``vector`` names a column of ready embeddings, which are then not computed; ``encoder=None`` without
+    one leaves the dense side out.
     """
     keys = [by] if by else []
-    lexical = sparse.topk(queries, sparse.fit(corpus, keys, ngrams, features), k)
-    if encoder is None:
+    with collected() as uris:
+        corpus = written(corpus, f"{scratch(corpus.sparkSession, 'corpus')}/rows")
+        lexical = sparse.fit(corpus, keys, ngrams, features)
+        near = texts = None
+        if encoder is not None or vector is not None:
+            # each different text once; a text contributes its k lowest rows
+            own = [F.min_by(vector, "corpus_idx").alias("embedding")] if vector else []
+            texts = corpus.groupBy(*keys, F.col("corpus_text").alias("text")).agg(F.min("corpus_idx").alias("first"), F.count("*").alias("n_rows"), *own)
+            coded = texts if vector else texts.withColumn("embedding", encoder(F.col("text")))
+            near = dense.index(coded.withColumnRenamed("first", "corpus_idx"), by=by, copies="n_rows")
+    return Index(corpus, lexical, near, texts, by, encoder, tuple(uris))
+
+
+def candidates(queries: DataFrame, corpus: DataFrame | Index, k: int = TOP_K, by: str | None = None, encoder: Encoder | None = dense.hashed_ngrams, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES, vector: str | None = None) -> DataFrame:
+    """``(query_idx, corpus_idx)``: the k nearest by embedding and the k nearest by n-grams, together.
+
+    Inputs are ``(query_idx, query_text, by)`` and ``(corpus_idx, corpus_text, by)``, or an index of the
+    latter. Embeddings are of different texts; with ``vector``, both have a column of that name with them.
+    """
+    index = corpus if isinstance(corpus, Index) else fit(corpus, by, encoder, ngrams, features, vector)
+    keys = [index.by] if index.by else []
+    lexical = sparse.topk(queries, index.sparse, k)
+    if index.dense is None:
         return lexical.select("query_idx", "corpus_idx")
-    # each different text once; a text contributes its k lowest rows
-    q_texts = queries.groupBy(*keys, "query_text").agg(F.min("query_idx").alias("query_idx"))
-    c_texts = corpus.groupBy(*keys, "corpus_text").agg(F.min("corpus_idx").alias("corpus_idx"))
-    near = dense.topk(q_texts.select(*keys, "query_idx", encoder(F.col("query_text")).alias("embedding")), c_texts.select(*keys, "corpus_idx", encoder(F.col("corpus_text")).alias("embedding")), k, by=by)
-    few = Window.partitionBy(*keys, "corpus_text").orderBy("corpus_idx")
-    heads = corpus.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).select(*keys, "corpus_text", F.col("corpus_idx").alias("row_idx"))
-    rows = near.join(c_texts, "corpus_idx").join(heads, [*keys, "corpus_text"]).select("query_idx", F.col("row_idx").alias("corpus_idx"), "score")
-    order = Window.partitionBy("query_idx").orderBy(F.desc("score"), "corpus_idx")
-    best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    back = best.join(q_texts, "query_idx").select(*keys, "query_text", "corpus_idx")
-    return union_candidates(lexical, queries.join(back, [*keys, "query_text"]))
+    own = [F.min_by(vector, "query_idx").alias("embedding")] if vector else []
+    texts = queries.groupBy(*keys, "query_text").agg(F.min("query_idx").alias("q_first"), *own)
+    coded = texts if vector else texts.withColumn("embedding", index.encoder(F.col("query_text")))
+    found = dense.topk(coded.select(*keys, F.col("q_first").alias("query_idx"), "embedding"), index.dense, k, by=index.by)
+    same = queries.join(texts.select(*keys, "query_text", "q_first"), [*keys, "query_text"]).select("query_idx", "q_first")
+    rows = index.corpus.withColumnRenamed("corpus_text", "text")
+    return union_candidates(lexical, sparse.expanded(found, index.texts, rows, [*keys, "text"], same, k))
 
 
 def _columns(column_query, columns_query, column_corpus, columns_corpus):
@@ -53,7 +89,7 @@ def _columns(column_query, columns_query, column_corpus, columns_corpus):
 
 def link(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | Index,
     column_query: str | None = None,
     column_corpus: str | None = None,
     columns_query: Sequence[str] | None = None,
@@ -61,29 +97,38 @@ def link(
     query_id: str = "idx",
     corpus_id: str = "idx",
     retrieval_top_k: int = TOP_K,
-    encoder=dense.hashed_ngrams,
-    scorer: Scorer = levenshtein_ratio,
+    encoder: Encoder | None = dense.hashed_ngrams,
+    scorer: Scorer | DataFrame = levenshtein_ratio,
     threshold: float | None = None,
+    vector: str | None = None,
 ) -> DataFrame:
     """``(query_idx, query_text, match_idx, match_text, score)``, one row per query.
 
-    Corpus columns default to the query's. An empty corpus, or a score below ``threshold``, gives a null
-    match. Null values are matched as the text ``None``.
+    ``corpus`` is a table or the index that ``index_of`` made of one. Corpus columns default to the
+    query's. An empty corpus, or a score below ``threshold``, gives a null match. Null values are matched
+    as the text ``None``. ``vector`` names a column of ready embeddings in both tables; ``scorer`` may be a
+    table ``(query_text, corpus_text, score)`` of ready scores.
     """
     column_query, columns_query, column_corpus, columns_corpus = _columns(column_query, columns_query, column_corpus, columns_corpus)
-    q = keyed(queries, query_id, column_query, columns_query, "query")
-    c = keyed(corpus, corpus_id, column_corpus, columns_corpus, "corpus")
-    best = best_match(pair_scores(candidates(q, c, retrieval_top_k, encoder=encoder), q, c, scorer))
+    q = keyed(queries, query_id, column_query, columns_query, "query", [F.col(vector)] if vector else [])
+    index = corpus if isinstance(corpus, Index) else index_of(corpus, column_corpus, columns_corpus, corpus_id, encoder, vector=vector)
+    best = best_match(pair_scores(candidates(q, index, retrieval_top_k, vector=vector), q, index.corpus, scorer))
     if threshold is not None:
         best = best.where(F.col("score") >= threshold)
     return q.join(best, "query_idx", "left").select("query_idx", "query_text", "match_idx", "match_text", "score")
 
 
+def index_of(corpus: DataFrame, column: str | None = None, columns: Sequence[str] | None = None, corpus_id: str = "idx", encoder: Encoder | None = dense.hashed_ngrams, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES, vector: str | None = None) -> Index:
+    """An index of a table for any number of calls of ``link`` or ``classify``."""
+    if (column is None) == (columns is None):
+        raise ValueError("give column or columns, not both")
+    return fit(keyed(corpus, corpus_id, column, columns, "corpus", [F.col(vector)] if vector else []), None, encoder, ngrams, features, vector)
+
+
 def block_map(q: DataFrame, c: DataFrame, k: int, encoder, scorer: Scorer) -> DataFrame:
     """``(query_block, match_block, block_score)``: each different block of the queries is linked once."""
-    number = Window.orderBy("block")
-    left = q.select(F.col("query_block").alias("block")).distinct().select((F.row_number().over(number) - 1).cast("long").alias("idx"), "block")
-    right = c.select(F.col("corpus_block").alias("block")).distinct().select((F.row_number().over(number) - 1).cast("long").alias("idx"), "block")
+    left = positional(q.select(F.col("query_block").alias("block")).distinct(), ["block"])
+    right = positional(c.select(F.col("corpus_block").alias("block")).distinct(), ["block"])
     found = link(left, right, column_query="block", retrieval_top_k=k, encoder=encoder, scorer=scorer)
     return found.select(F.col("query_text").alias("query_block"), F.col("match_text").alias("match_block"), F.col("score").alias("block_score"))
 
@@ -135,10 +180,15 @@ def link_blocked(
 
 
 def merge_back(queries: DataFrame, matches: DataFrame, corpus: DataFrame, query_id: str = "idx", corpus_id: str = "idx", suffix: str = "_corpus") -> DataFrame:
-    """Queries with their match and the columns of the matched row; clashing corpus columns get the suffix."""
-    taken = {*queries.columns, "match_idx", "score"}
+    """Queries with their match and the columns of the matched row.
+
+    A corpus column whose name is taken gets the suffix; a query column ``match_idx`` or ``score`` keeps its
+    values under ``match_idx_query`` or ``score_query``.
+    """
+    own = {x: f"{x}_query" if x in ("match_idx", "score") else x for x in queries.columns}
+    taken = {*own.values(), "match_idx", "score"}
     right = corpus.select(F.col(corpus_id).alias("match_idx"), *(F.col(x).alias(f"{x}{suffix}" if x in taken else x) for x in corpus.columns if x != corpus_id))
-    left = queries.join(matches.select(F.col("query_idx").alias(query_id), "match_idx", "score"), query_id, "left")
+    left = queries.withColumnsRenamed(own).join(matches.select(F.col("query_idx").alias(own[query_id]), "match_idx", "score"), own[query_id], "left")
     return left.join(right, "match_idx", "left")
 
 

@@ -11,42 +11,51 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import as_text, title_text
 from kinfold.operators import dense, sparse
 from kinfold.operators.components import ONE_TASK, components
-from kinfold.operators.link import candidates, keyed
+from kinfold.operators.link import Encoder, Index, candidates, index_of, keyed
 from kinfold.operators.ranking import Scorer, best_match, levenshtein_ratio, pair_scores, shortlist
+from kinfold.sources.tables import positional
 
 TOP_K = 30
 CODES = ("canonical_code", "hisco_code", "isco_code")
 
 
-def _listed(rows: DataFrame, title: str, description: str, code: str, era: str, own: str, null_text: str | None) -> DataFrame:
+def _listed(rows: DataFrame, title: str, description: str, code: str, era: str, own: str, null_text: str | None, extra: Sequence[Column] = ()) -> DataFrame:
     has_text, has_code = description in rows.columns, code in rows.columns
     text = as_text(description, null_text) if has_text else F.lit(None).cast("string")
     own_code = F.col(code).cast("string") if has_code else F.lit(None).cast("string")
     none = F.lit(None).cast("string")
     codes = {c: own_code if c in ("canonical_code", own) else none for c in CODES}
     name = as_text(title)
-    return rows.select(name.alias("title"), F.coalesce(text, F.lit("")).alias("description"), F.lit(era).alias("era"), *(codes[c].alias(c) for c in CODES), title_text(name, text).alias("text"))
+    return rows.select(name.alias("title"), F.coalesce(text, F.lit("")).alias("description"), F.lit(era).alias("era"), *(codes[c].alias(c) for c in CODES), title_text(name, text).alias("text"), *extra)
 
 
-def build_unified_corpus(hisco: DataFrame, isco: DataFrame, hisco_cols: Sequence[str] = ("title", "description", "hisco_code"), isco_cols: Sequence[str] = ("title", "description", "isco_code"), era_labels: tuple[str, str] = ("historical", "modern"), null_text: str | None = None) -> DataFrame:
+def build_unified_corpus(hisco: DataFrame, isco: DataFrame, hisco_cols: Sequence[str] = ("title", "description", "hisco_code"), isco_cols: Sequence[str] = ("title", "description", "isco_code"), era_labels: tuple[str, str] = ("historical", "modern"), null_text: str | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """``(title, description, era, canonical_code, hisco_code, isco_code, text)`` of both lists.
 
-    Columns are (title, description, code); an absent description is empty, an absent code null.
+    Columns are (title, description, code); an absent description is empty, an absent code null. With
+    ``order``, columns that both lists have, rows are numbered in ``idx``: the first list's in this order, then the second's.
     """
-    return _listed(hisco, *hisco_cols, era_labels[0], "hisco_code", null_text).unionByName(_listed(isco, *isco_cols, era_labels[1], "isco_code", null_text))
+    parts = [(hisco, hisco_cols, era_labels[0], "hisco_code"), (isco, isco_cols, era_labels[1], "isco_code")]
+    if order is None:
+        one, two = (_listed(rows, *columns, era, own, null_text) for rows, columns, era, own in parts)
+        return one.unionByName(two)
+    keys = [f"__{k}" for k in range(len(order))]
+    one, two = (_listed(rows, *columns, era, own, null_text, [F.lit(n).alias("__list"), *(F.col(c).alias(k) for c, k in zip(order, keys))]) for n, (rows, columns, era, own) in enumerate(parts))
+    return positional(one.unionByName(two), ["__list", *keys]).drop("__list", *keys)
 
 
-def classify(queries: DataFrame, corpus: DataFrame, query_column: str = "text", corpus_column: str = "text", query_id: str = "idx", corpus_id: str = "idx", retrieval_top_k: int = TOP_K, second_stage: Callable[[str, list[str]], int] | Column | None = None, second_stage_top_n: int = 5, encoder=dense.hashed_ngrams, scorer: Scorer = levenshtein_ratio, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES) -> DataFrame:
+def classify(queries: DataFrame, corpus: DataFrame | Index, query_column: str = "text", corpus_column: str = "text", query_id: str = "idx", corpus_id: str = "idx", retrieval_top_k: int = TOP_K, second_stage: Callable[[str, list[str]], int] | Column | None = None, second_stage_top_n: int = 5, encoder: Encoder | None = dense.hashed_ngrams, scorer: Scorer | DataFrame = levenshtein_ratio, ngrams: tuple[int, int] = (2, 4), features: int = sparse.FEATURES) -> DataFrame:
     """``(query_idx, query_text, match_idx, match_text, score)``.
 
+    ``corpus`` is a table or the index that ``link.index_of`` made of one, which many calls can use.
     ``second_stage`` picks from the texts of the best ``second_stage_top_n`` candidates, best first: a
     Python function of (query, texts) that returns a position from 0, or an expression over the columns
     ``query_text`` and ``texts``. A position out of range keeps the winner; the score is that of the
     first stage.
     """
     q = keyed(queries, query_id, query_column, None, "query")
-    c = keyed(corpus, corpus_id, corpus_column, None, "corpus")
-    scored = pair_scores(candidates(q, c, retrieval_top_k, None, encoder, ngrams, features), q, c, scorer)
+    index = corpus if isinstance(corpus, Index) else index_of(corpus, corpus_column, None, corpus_id, encoder, ngrams, features)
+    scored = pair_scores(candidates(q, index, retrieval_top_k), q, index.corpus, scorer)
     if second_stage is None:
         best = best_match(scored)
     else:
@@ -85,11 +94,14 @@ def deduplicate_corpus(corpus: DataFrame, idx: str = "idx", text_col: str = "tex
     A cluster is represented by its lowest row of the preferred era, else its lowest row; that row's
     columns stay, its codes become the sorted different codes of the cluster (null if none),
     ``aliases`` its titles, ``n_records`` its size. The mapping is ``(orig_idx, canonical_idx,
-    cluster_id)``, the cluster named by its lowest row. ``one_task`` is passed to ``components``.
+    cluster_id)``, the cluster named by its lowest row. Columns of the caller with the names of new ones get
+    ``_original``. ``one_task`` is passed to ``components``.
     """
+    clash = {"cluster_id", "n_records", "canonical_idx", *({"aliases"} if title_col in corpus.columns else ())} & set(corpus.columns) - {idx, text_col, era_col, title_col, *code_cols}
+    corpus = corpus.withColumnsRenamed({c: f"{c}_original" for c in clash})
     pairs = duplicate_pairs(corpus, idx, text_col, score_threshold, retrieval_top_k, encoder, scorer)
-    label = components(pairs, "query_idx", "corpus_idx", one_task)
-    rows = corpus.join(label.select(F.col("node").alias(idx), "component"), idx, "left").withColumn("cluster_id", F.coalesce("component", F.col(idx).cast("long"))).drop("component")
+    label = components(pairs, "query_idx", "corpus_idx", one_task).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    rows = corpus.join(label, F.col(idx) == F.col("__node"), "left").withColumn("cluster_id", F.coalesce("__component", F.col(idx).cast("long"))).drop("__node", "__component")
     preferred = F.min(F.when(F.col(era_col).cast("string") == preferred_era, F.col(idx))) if era_col in corpus.columns else F.lit(None).cast("long")
     codes = [c for c in code_cols if c in corpus.columns]
 

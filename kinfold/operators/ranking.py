@@ -54,11 +54,18 @@ def ngram_dice(n: int = 3) -> Scorer:
     return score
 
 
-def pair_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Scorer = levenshtein_ratio) -> DataFrame:
-    """``(query_idx, query_text, corpus_idx, corpus_text, score)``: each pair of texts is scored once."""
+def pair_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Scorer | DataFrame = levenshtein_ratio) -> DataFrame:
+    """``(query_idx, query_text, corpus_idx, corpus_text, score)``: each pair of texts is scored once.
+
+    A table ``(query_text, corpus_text, score)`` in place of the scorer has the scores ready; pairs it
+    hasn't are no candidates.
+    """
     candidates = written(candidates.select("query_idx", "corpus_idx"), f"{scratch(candidates.sparkSession, 'pairs')}/candidates")  # read twice
     rows = candidates.join(queries.select("query_idx", "query_text"), "query_idx").join(corpus.select("corpus_idx", "corpus_text"), "corpus_idx")
-    texts = rows.select("query_text", "corpus_text").distinct().withColumn("score", rounded(scorer(F.col("query_text"), F.col("corpus_text")).cast("double")))
+    if isinstance(scorer, DataFrame):
+        texts = scorer.groupBy("query_text", "corpus_text").agg(rounded(F.max(F.col("score").cast("double"))).alias("score"))
+    else:
+        texts = rows.select("query_text", "corpus_text").distinct().withColumn("score", rounded(scorer(F.col("query_text"), F.col("corpus_text")).cast("double")))
     return rows.join(texts, ["query_text", "corpus_text"]).select("query_idx", "query_text", "corpus_idx", "corpus_text", "score")
 
 

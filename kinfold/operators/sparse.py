@@ -2,34 +2,47 @@
 
 Vocabulary and weights are fitted on the corpus: raw counts times ln((1 + rows) / (1 + rows with the
 gram)) + 1, vectors of length 1. Equal texts are handled once, whatever the number of rows that have
-them; a text contributes its k lowest rows, which is all that a top-k can take of it.
+them; a text contributes its k lowest rows, which is all that a top-k can take of it. Similarities are
+sums over blocks of packed vectors in the workers (see ``blocks``); ``similarities`` has the same as a
+join on the grams, as a cross-check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinfold.functions.text import char_ngrams, normalized
-from kinfold.operators.ranking import rounded, top_k
+from kinfold.operators import blocks
+from kinfold.operators.ranking import DIGITS, rounded, top_k
 from kinfold.plans.shared import scratch, written
 
 FEATURES = 50_000
+#: Products that are held at once.
+_MOST = 1 << 22
 
 
 class SparseIndex(NamedTuple):
-    """idf: (by..., gram, idf); postings: (by..., text, gram, weight); rows: (by..., corpus_idx, text)."""
+    """idf: (by..., gram, idf); rows: (by..., corpus_idx, text); texts: (by..., text, first); blocks: folder of packed vectors."""
 
     idf: DataFrame
-    postings: DataFrame
     rows: DataFrame
+    texts: DataFrame
+    blocks: str
     by: tuple[str, ...]
     ngrams: tuple[int, int]
 
+    @property
+    def postings(self) -> DataFrame:
+        """``(by..., text, gram, weight)``."""
+        return _weighted(term_counts(self.texts, [*self.by, "text"], self.ngrams), self.idf, self.by, [*self.by, "text"])
+
 
 def term_counts(texts: DataFrame, keys: Sequence[str], ngrams: tuple[int, int] = (2, 4)) -> DataFrame:
     """``(keys..., gram, tf)`` of the column ``text``."""
@@ -41,32 +54,114 @@ def _weighted(counts: DataFrame, idf: DataFrame, by: Sequence[str], keys: Sequen
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).select(*keys, "gram", "weight")
 
 
+def _key(by: Sequence[str]):
+    return (F.to_json(F.struct(*by)) if by else F.lit("")).alias("by")
+
+
+def _vectors(texts: DataFrame, idf: DataFrame, by: Sequence[str], ngrams: tuple[int, int], idx: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``(by, idx, grams, weights, extra...)`` of texts numbered by ``idx``: hashes of the grams, weights not yet of length 1.
+
+    Rows are spread by number first, so counting and collecting stay where they are.
+    """
+    n = blocks.partitions(texts)
+    keys = [*by, idx, *extra]
+    counts = texts.select(*keys, "text").repartition(n, idx).select(*keys, F.explode_outer(char_ngrams(F.col("text"), *ngrams)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
+    entry = F.when(F.col("idf").isNotNull(), F.struct(F.xxhash64("gram").alias("g"), (F.col("tf") * F.col("idf")).alias("w")))
+    found = counts.join(idf, [*by, "gram"], "left").groupBy(*keys).agg(F.collect_list(entry).alias("v"))
+    return found.select(_key(by), idx, F.col("v.g").alias("grams"), F.col("v.w").alias("weights"), *extra)
+
+
+def _unit(grams: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, gram and weight of each entry; vectors have length 1."""
+    sizes = grams.value_lengths().fill_null(0).to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    g, w = grams.flatten().to_numpy(), weights.flatten().to_numpy()
+    norm = np.sqrt(np.bincount(rows, weights=w * w, minlength=len(sizes)))
+    return rows, g, w / norm[rows] if len(rows) else w
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows that are sorted by ``by``: entries in the order of their grams."""
+    names = ["by", "ids", "grams", "starts", "rows", "weights", "copies"]
+    for batch in batches:
+        values = np.array(batch.column(0).to_pylist(), dtype=object)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            for i in range(a, b, blocks.BLOCK):
+                part = batch.slice(i, min(blocks.BLOCK, b - i))
+                rows, g, w = _unit(part.column(2), part.column(3))
+                order = np.argsort(g, kind="stable")
+                g = g[order]
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+                data = [part.column(1).to_numpy().tobytes(), g[first].tobytes(), np.append(first, len(g)).astype(np.int64).tobytes(), rows[order].astype(np.int32).tobytes(), w[order].tobytes(), part.column(4).to_numpy().tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([values[a]], pa.string()), *(pa.array([d], pa.binary()) for d in data)], names)
+
+
+def _queries(table: pa.Table) -> list:
+    out = []
+    for i in range(0, table.num_rows, blocks.BLOCK):
+        part = table.slice(i, blocks.BLOCK)
+        grams, weights = (pa.concat_arrays(part.column(c).chunks) for c in ("grams", "weights"))
+        out.append((part.column("query_idx").to_numpy(), (part.num_rows, *_unit(grams, weights))))
+    return out
+
+
+def _products(q: tuple, block: dict) -> np.ndarray:
+    """Rounded cosines of a block of queries and one of the corpus."""
+    n, rows, grams, weights = q
+    known, starts = np.frombuffer(block["grams"], np.int64), np.frombuffer(block["starts"], np.int64)
+    column, weight = np.frombuffer(block["rows"], np.int32), np.frombuffer(block["weights"], np.float64)
+    width = len(block["ids"]) // 8
+    out = np.zeros((n, width))
+    if not len(known) or not len(rows):
+        return out
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    hit = known[at] == grams
+    rows, weights, at = rows[hit], weights[hit], at[hit]
+    begin, size = starts[at], starts[at + 1] - starts[at]
+    total = np.concatenate([[0], np.cumsum(size)])
+    first = np.searchsorted(rows, np.arange(n + 1))  # of each query's entries
+    done, i = total[first], 0
+    while i < n:
+        j = max(int(np.searchsorted(done, done[i] + _MOST, side="right")) - 1, i + 1)
+        a, b = first[i], first[j]
+        entry = np.repeat(begin[a:b] - (total[a:b] - total[a]), size[a:b]) + np.arange(total[b] - total[a])
+        cell = np.repeat((rows[a:b] - i) * width, size[a:b]) + column[entry]
+        out[i:j] = np.bincount(cell, weights=np.repeat(weights[a:b], size[a:b]) * weight[entry], minlength=(j - i) * width).reshape(j - i, width)
+        i = j
+    return np.round(out, DIGITS) + 0.0
+
+
 def fit(corpus: DataFrame, by: Sequence[str] = (), ngrams: tuple[int, int] = (2, 4), features: int = FEATURES) -> SparseIndex:
     """Index of ``(corpus_idx, corpus_text, by...)``; with ``by``, one index for each of its values.
 
-    Weights and postings are written to the shared folder: every query table that is looked up reads them.
+    Weights and packed vectors are written to the shared folder: every query table that is looked up reads them.
     """
     by = tuple(by)
     at = scratch(corpus.sparkSession, "sparse")
     rows = corpus.select(*by, "corpus_idx", normalized(F.col("corpus_text")).alias("text"))
-    texts = rows.groupBy(*by, "text").agg(F.count("*").alias("n_rows"))
-    counts = written(term_counts(texts, [*by, "text", "n_rows"], ngrams), f"{at}/counts")
-    grams = counts.groupBy(*by, "gram").agg(F.sum("n_rows").alias("df"), F.sum(F.col("tf") * F.col("n_rows")).alias("total"))
+    texts = written(rows.groupBy(*by, "text").agg(F.count("*").alias("n_rows"), F.min("corpus_idx").alias("first")), f"{at}/texts")
+    # each gram once with the rows that have it, and as often as it occurs
+    grams = char_ngrams(F.col("text"), *ngrams)
+    marks = F.concat(F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("gram"), F.lit(1).alias("d"), F.lit(0).alias("t"))), F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("d"), F.lit(1).alias("t"))))
+    each = texts.select(*by, "n_rows", F.explode(marks).alias("m")).select(*by, "m.gram", (F.col("m.d") * F.col("n_rows")).alias("d"), (F.col("m.t") * F.col("n_rows")).alias("t"))
+    grams = each.groupBy(*by, "gram").agg(F.sum("d").alias("df"), F.sum("t").alias("total"))
     if by:
         rank = Window.partitionBy(*by).orderBy(F.desc("total"), "gram")
         grams = grams.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= features)
-        size = rows.groupBy(*by).agg(F.count("*").alias("n"))
-        grams = grams.join(size, list(by))
+        grams = grams.join(texts.groupBy(*by).agg(F.sum("n_rows").alias("n")), list(by))
     else:
-        grams = grams.orderBy(F.desc("total"), "gram").limit(features).crossJoin(rows.agg(F.count("*").alias("n")))
-    idf = grams.select(*by, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    idf = written(idf, f"{at}/idf")
-    postings = written(_weighted(counts.select(*by, "text", "gram", "tf"), idf, by, [*by, "text"]), f"{at}/postings")
-    return SparseIndex(idf, postings, rows, by, ngrams)
+        grams = grams.orderBy(F.desc("total"), "gram").limit(features).crossJoin(texts.agg(F.sum("n_rows").alias("n")))
+    idf = written(grams.select(*by, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), f"{at}/idf")
+    vectors = _vectors(texts, idf, by, ngrams, "first", ["n_rows"])
+    if by:  # in ranges, so that a value with many texts is in several tasks
+        vectors = vectors.repartitionByRange(blocks.partitions(texts), "by", "first").sortWithinPartitions("by")
+    packed = vectors.mapInArrow(_packed, "by string, ids binary, grams binary, starts binary, rows binary, weights binary, copies binary")
+    return SparseIndex(idf, rows, texts, blocks.staged(packed, f"{at}/blocks"), by, ngrams)
 
 
 def similarities(queries: DataFrame, index: SparseIndex) -> DataFrame:
-    """``(by..., q_text, text, score)`` of all pairs of different texts that share a gram."""
+    """``(by..., q_text, text, score)`` of all pairs of different texts that share a gram, by a join on the grams."""
     by = list(index.by)
     texts = queries.select(*by, normalized(F.col("query_text")).alias("text")).distinct()
     probe = _weighted(term_counts(texts, [*by, "text"], index.ngrams), index.idf, by, [*by, "text"])
@@ -80,17 +175,19 @@ def topk(queries: DataFrame, index: SparseIndex, k: int) -> DataFrame:
     A query that shares a gram with fewer than k rows is filled up with the lowest rows, at score 0.
     """
     by = list(index.by)
-    few = Window.partitionBy(*by, "text").orderBy("corpus_idx")
-    heads = index.rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).drop("r")
-    found = top_k(similarities(queries, index).where("score > 0").join(heads, [*by, "text"]), k, [*by, "q_text"]).select(*by, "q_text", "corpus_idx", "score")
-    found = written(found, f"{scratch(queries.sparkSession, 'sparse')}/found")  # read by three branches
-    all_rows = Window.partitionBy(*by).orderBy("corpus_idx") if by else Window.orderBy("corpus_idx")
-    lowest = index.rows.orderBy("corpus_idx").limit(k) if not by else index.rows.withColumn("r", F.row_number().over(all_rows)).where(F.col("r") <= k)
-    texts = queries.select(*by, normalized(F.col("query_text")).alias("q_text")).distinct()
-    have = found.groupBy(*by, "q_text").agg(F.count("*").alias("have"))
-    short = texts.join(have, [*by, "q_text"], "left").where(F.coalesce("have", F.lit(0)) < k).select(*by, "q_text")
-    pad = (short.join(lowest.select(*by, "corpus_idx"), by) if by else short.crossJoin(lowest.select("corpus_idx"))).withColumn("score", F.lit(0.0))
-    pad = pad.join(found.select(*by, "q_text", "corpus_idx"), [*by, "q_text", "corpus_idx"], "left_anti")
-    chosen = top_k(found.select(*by, "q_text", "corpus_idx", "score").union(pad.select(*by, "q_text", "corpus_idx", "score")), k, [*by, "q_text"])
-    keyed = queries.select(*by, "query_idx", normalized(F.col("query_text")).alias("q_text"))
-    return keyed.join(chosen.drop("rank"), [*by, "q_text"]).select("query_idx", "corpus_idx", "score")
+    keyed = queries.select(*by, "query_idx", normalized(F.col("query_text")).alias("text"))
+    texts = keyed.groupBy(*by, "text").agg(F.min("query_idx").alias("q_first"))
+    probe = _vectors(texts, index.idf, by, index.ngrams, "q_first").withColumnRenamed("q_first", "query_idx")
+    # the k best texts by score and lowest row hold the k best rows
+    found = blocks.topk(probe, index.blocks, k, _queries, _products)
+    same = keyed.join(texts, [*by, "text"]).select("query_idx", "q_first")
+    return expanded(found, index.texts, index.rows, [*by, "text"], same, k)
+
+
+def expanded(found: DataFrame, texts: DataFrame, rows: DataFrame, keys: Sequence[str], same: DataFrame, k: int) -> DataFrame:
+    """Rows of text matches: ``found`` has the first row of each side's text, ``same`` (query_idx, q_first)."""
+    few = Window.partitionBy("first").orderBy("corpus_idx")
+    heads = rows.join(texts.select(*keys, "first"), list(keys)).select("first", "corpus_idx").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k)
+    best = found.select(F.col("query_idx").alias("q_first"), F.col("corpus_idx").alias("first"), "score").join(heads.select("first", "corpus_idx"), "first")
+    best = top_k(best, k, ["q_first"]).select("q_first", "corpus_idx", "score")
+    return same.join(best, "q_first").select("query_idx", "corpus_idx", "score")

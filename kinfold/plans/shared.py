@@ -2,19 +2,23 @@
 
 Long or iterative plans cut their lineage with tables in this folder, so that a lost executor costs
 the recomputation of a task and never of the whole plan. The folder is the one the session names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a folder made here.
+``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests, a laptop) is a folder made here.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_OWNERS = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         uri = named if "://" in named else f"file://{named}"
     else:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='kinfold-')}"
             _remove_at_exit(_OWN[app])
@@ -38,9 +44,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     filesystem, path = fs.FileSystem.from_uri(uri)
     filesystem.create_dir(path)
     _remove_at_exit(uri)
+    for owner in getattr(_OWNERS, "stack", ()):
+        owner.append(uri)
     return uri
 
 
+@contextmanager
+def collected(delete: bool = False) -> Iterator[list[str]]:
+    """A list of the folders that ``scratch`` makes meanwhile in this thread; with ``delete`` they go at the end."""
+    uris: list[str] = []
+    stack = _OWNERS.stack = [*getattr(_OWNERS, "stack", ()), uris]
+    try:
+        yield uris
+    finally:
+        _OWNERS.stack = stack[:-1]
+        if delete:
+            for uri in uris:
+                remove(uri)
+
+
 def remove(uri: str) -> None:
     filesystem, path = fs.FileSystem.from_uri(uri)
     if filesystem.get_file_info(path).type != fs.FileType.NotFound:
@@ -61,11 +83,3 @@ def written(df: DataFrame, uri: str) -> DataFrame:
     """The same rows, written as a table at ``uri`` and read again: a lineage cut that outlives executors."""
     df.write.mode("overwrite").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager ``checkpoint()`` in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
