@@ -54,6 +54,25 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], key: str, least: int = 100_000) -> Iterator[pa.Table]:
+    """Tables of some ``least`` rows or more that don't cut a run of equal keys; rows come sorted by the key, which isn't null."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= least:
+            at = batch.schema.get_field_index(key)
+            other = np.flatnonzero(batch.column(at).to_numpy() != kept[-1].column(at)[kept[-1].num_rows - 1].as_py())
+            if len(other):
+                yield pa.Table.from_batches([*kept, batch.slice(0, int(other[0]))])
+                kept, n, batch = [], 0, batch.slice(int(other[0]))
+        kept.append(batch)
+        n += batch.num_rows
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of a partition, None if there is none."""
     found = [b for b in batches if b.num_rows]

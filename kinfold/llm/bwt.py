@@ -6,9 +6,9 @@ there goes to the place C[c] + rank_c(p) of the transform, p being the place of
 longest common prefixes of its neighbours follow from range minima over the old ones (Cox, Garofalo,
 Rosone and Sciortino, "Lightweight LCP construction for very large collections of strings"). The
 transform is kept by symbol: the occurrences of each symbol as ascending places, one sorted sequence
-of (symbol, place), which gives C[c] + rank_c(p) by merging. All sequences are read and written in
-order, block by block. They start in memory and go to files in the shared folder once they outgrow
-``spool`` bytes; memory holds only what there is per document and a minimum for every 64 suffixes.
+of (symbol, place), which gives C[c] + rank_c(p) by merging. All sequences are files in the shared
+folder, read and written in order, block by block; memory holds the documents' symbols, what there is
+per document and a minimum for every 64 suffixes. Without a folder, blocks stay in memory.
 """
 
 from __future__ import annotations
@@ -22,17 +22,15 @@ from pyarrow import fs
 RECORD = np.dtype([("key", "<u8"), ("seg", "<u4"), ("length", "u1"), ("lcp", "u1")])
 BLOCK = 1 << 17
 MICRO = 64
-SPOOL = 256 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 class Sequence:
     """Records that are appended in blocks and read in that order."""
 
-    def __init__(self, folder: str | None, spool: int = SPOOL):
-        self.folder, self.spool = folder, spool
+    def __init__(self, folder: str | None):
+        self.folder, self.path, self.sink, self.filesystem = folder, None, None, None
         self.kept: list[np.ndarray] = []
-        self.bytes, self.path, self.sink, self.filesystem = 0, None, None, None
         self.rest: list[np.ndarray] = []
         self.waiting = 0
         self.minima: list[np.ndarray] = []
@@ -59,8 +57,7 @@ class Sequence:
         lcp = block["lcp"]
         self.minima.append(np.minimum.reduceat(lcp, np.arange(0, len(lcp), MICRO)))
         self.count += len(block)
-        self.bytes += block.nbytes
-        if self.sink is None and self.folder and self.bytes > self.spool:
+        if self.sink is None and self.folder:
             self.filesystem, base = fs.FileSystem.from_uri(self.folder)
             self.path = f"{base}/bwt-{uuid.uuid4().hex}"
             self.sink = self.filesystem.open_output_stream(self.path)
@@ -76,9 +73,9 @@ class Sequence:
             with self.filesystem.open_input_stream(self.path) as source:
                 while left:
                     n = min(BLOCK, left)
-                    data = b""
-                    while len(data) < n * RECORD.itemsize:
-                        data += source.read(n * RECORD.itemsize - len(data))
+                    data = source.read(n * RECORD.itemsize)
+                    if len(data) < n * RECORD.itemsize:
+                        raise OSError(f"{self.path} ends too early")
                     yield np.frombuffer(data, dtype=RECORD)
                     left -= n
 
@@ -150,7 +147,7 @@ class RangeMinima:
         return out
 
 
-def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None, spool: int = SPOOL) -> Sequence:
+def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None) -> Sequence:
     """Sorted suffixes of the documents symbols[offsets[i]:offsets[i + 1]] (uint32 >= 1, up to 255 each), with common prefixes.
 
     Equal suffixes are ordered by document. A record has the document (seg), the length of the suffix
@@ -159,7 +156,7 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None, s
     lengths = np.diff(offsets)
     m = len(lengths)
     place = np.arange(m, dtype=np.int64)  # of each document's latest suffix; 0..m-1 are the empty ones
-    old = Sequence(folder, spool)
+    old = Sequence(folder)
     old.close()
     for j in range(1, int(lengths.max(initial=0)) + 1):
         active = np.flatnonzero(lengths >= j)
@@ -194,7 +191,7 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None, s
         heads = np.flatnonzero(follows & (rank < old.count))
         lcp_after = _prefixes(old, key[heads], after[heads], m)
         # pass 3: write the merged sequence
-        new = Sequence(folder, spool)
+        new = Sequence(folder)
         record = np.zeros(n, dtype=RECORD)
         record["key"], record["seg"], record["length"], record["lcp"] = key, active, j, lcp
         moved = rank[heads]

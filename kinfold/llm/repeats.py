@@ -5,16 +5,19 @@ occurrence (lower doc_id, then lower position). All occurrences of a window choo
 its grams of GRAM words as anchor (the leftmost with the least hash), so what lies around equal
 anchors can be compared apart from everything else:
 
-1. every anchor's segment (the words that windows around it can reach) is reduced to two hashes, and
-   anchors meet by hash. Anchors that occur once are done: none of their windows is repeated. Of
-   equal segments the first stands for all, the others are repeated as a whole;
-2. the different segments around equal anchors form collections, whose Burrows-Wheeler transform and
-   common prefixes are built column by column (see ``bwt``). Runs of common prefixes of LENGTH or
-   more are repeated windows; all of a run but the first occurrence are marked;
+1. every anchor's segment (the union of the windows that chose it) is reduced to hashes, and anchors
+   meet by hash, equal segments of a slice of the input as one. Anchors that occur once are done: none
+   of their windows is repeated. Of equal segments the first stands for all, the others are repeated
+   as a whole. Segments that share the words on neither side of the anchor with another are done too;
+2. the other segments around equal anchors form collections, whose Burrows-Wheeler transform and
+   common prefixes are built column by column in files (see ``bwt``). Runs of common prefixes of LENGTH
+   or more are repeated windows; all of a run but the first occurrence are marked;
 3. marks are merged to spans by document.
 
 Nothing is sampled or capped: each window is covered by its own anchor, so the result is that of one
-suffix array over the corpus.
+suffix array over the corpus. Words are compared by 32-bit hashes among segments whose anchors agree
+in 64 bits, equal segments by 64-bit hashes. All different segments of one anchor are one collection,
+which one task builds.
 """
 
 from __future__ import annotations
@@ -43,12 +46,15 @@ def symbols(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return hashes, np.maximum(hashes >> np.uint64(32), np.uint64(1)).astype(np.uint32)
 
 
-def anchors(hashes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are the anchor of a window, ascending, and the hash of the gram of each."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(hashes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that are the anchor of a window, ascending, the hash of the gram of each, and where its segment starts and ends.
+
+    The windows of an anchor are consecutive; its segment is their union, and each window in it is one of them.
+    """
+    none = np.zeros(0, np.int64)
     n = len(hashes)
     if n < length:
-        return none
+        return none, none.astype(np.uint64), none, none
     grams = W.rolling(hashes, gram)
     width = length - gram + 1
     least, at = grams, np.arange(len(grams), dtype=np.int64)
@@ -60,18 +66,36 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tupl
         at = np.where(right, at[step:], at[:-step])
         least = np.where(right, b, a)
         have += step
-    whole = doc[: n - length + 1] == doc[length - 1 :]
-    found = np.unique(at[whole])
-    return found, grams[found]
+    whole = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
+    found, first = np.unique(at[whole], return_index=True)
+    last = np.append(first[1:], len(whole))[: len(found)] - 1
+    return found, grams[found], whole[first], whole[last] + length
+
 
+def sides(hashes: np.ndarray, found: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Two 32-bit hashes in one: of the words next to the anchor on its left and on its right, 0 where the segment doesn't reach so far.
+
+    A window has half of its other words or more on one side of its anchor, so segments with a common window agree in one of the two.
+    """
+    half = (length - gram) // 2
+    if half == 0:
+        return np.full(len(found), (1 << 32) | 1)
+    near = np.maximum(W.rolling(hashes, half) >> np.uint64(32), np.uint64(1)).astype(np.int64) if len(hashes) >= half else np.zeros(0, np.int64)
+    out = np.zeros(len(found), np.int64)
+    at = np.flatnonzero(found - left >= half)
+    out[at] = near[found[at] - half] << 32
+    at = np.flatnonzero(right - found - gram >= half)
+    out[at] |= near[found[at] + gram]
+    return out
 
-def _bounds(found, doc, first, counts, length, gram):
-    """Segments of the anchors: [start, end) in words of the batch."""
-    begin, end = first[doc[found]], first[doc[found]] + counts[doc[found]]
-    return np.maximum(found - (length - gram), begin), np.minimum(found + length, end), begin
+
+#: Marks a place that is repeated as a whole, whatever else there is.
+COPY = 1 << 62
 
 
 def _anchored(length: int, gram: int):
+    """Anchors with their segments. Of equal segments of a slice only the first is to be compared, the others are repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in W.slices(big, "text"):
@@ -79,18 +103,34 @@ def _anchored(length: int, gram: int):
                 starts, ends, doc = W.word_spans(buf, offsets)
                 hashes, _ = symbols(buf, starts, ends)
                 counts = np.bincount(doc, minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, np.int64)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                found, gramhash = anchors(hashes, doc, length, gram)
-                left, right, begin = _bounds(found, doc, first, counts, length, gram)
+                begin = np.concatenate([[0], np.cumsum(counts)])
+                found, gramhash, left, right = anchors(hashes, doc, length, gram)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(hashes) * _odd_powers(len(hashes)), dtype=np.uint64)])
                 # a polynomial of the segment's words, brought to the same power whatever its place
-                segment = W.mix((total[right] - total[left]) * _inverse_powers(len(hashes))[left] + (found - left).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                place = ((left - begin) << 16) | ((found - left) << 8) | (right - left)
-                yield pa.RecordBatch.from_arrays([pa.array(gramhash.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(W.ids(batch, "doc_id")[doc[found]] if len(found) else found), pa.array(place)], ["anchor", "segment", "doc_id", "place"])
+                segment = W.mix((total[right] - total[left]) * _inverse_powers(len(hashes))[left] + (found - left).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+                near, anchor = sides(hashes, found, left, right, length, gram), gramhash.view(np.int64)
+                ids = W.ids(batch, "doc_id")[doc[found]] if len(found) else found
+                place = ((left - begin[doc[found]]) << 16) | ((found - left) << 8) | (right - left) if len(found) else found
+                order, new, copy = _alike(anchor, segment, ids, place)
+                place = np.where(copy, place[order] | COPY, place[order])
+                keep = np.flatnonzero(new | copy)
+                # what is settled goes anywhere
+                anchor = np.where(copy, W.mix(place.astype(np.uint64)).view(np.int64), anchor[order])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, segment[order], near[order], ids[order], place)], ["anchor", "segment", "near", "doc_id", "place"])
 
     return run
 
 
+def _alike(anchor: np.ndarray, segment: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by anchor, segment and place; in it, the first of each segment, and those that repeat one (but for repeated rows of a document)."""
+    order = np.lexsort((place, doc, segment, anchor))
+    anchor, segment, doc, place = anchor[order], segment[order], doc[order], place[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])
+    rep = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return order, new, ~new & ((doc != doc[rep]) | (place != place[rep]))
+
+
 _P = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _Q = 0xD6E8FEB86659FD93
 
@@ -112,32 +152,35 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _power(1, n)
 
 
-def _met(length: int):
-    """Of a partition's anchors: spans that are repeated as a whole (anchor null), and segments to compare."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = B.whole(batches)
-        if table is None:
-            return
-        anchor, segment, doc, place = (table.column(c).to_numpy() for c in ("anchor", "segment", "doc_id", "place"))
-        order = np.lexsort((place, doc, segment, anchor))
-        anchor, segment, doc, place = anchor[order], segment[order], doc[order], place[order]
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new_segment = new_anchor | np.concatenate([[True], segment[1:] != segment[:-1]])
-        kinds = np.bincount(np.cumsum(new_anchor) - 1, weights=new_segment)
-        compare = new_segment & (kinds[np.cumsum(new_anchor) - 1] > 1)
-        # repeated rows of a document are the same occurrence
-        rep = np.flatnonzero(new_segment)[np.cumsum(new_segment) - 1]
-        copy = ~new_segment & ((doc != doc[rep]) | (place != place[rep]))
-        kept = compare | copy
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors in order: spans that are repeated as a whole (anchor null), and segments to compare."""
+    for table in B.chunks(batches, "anchor"):
+        anchor, segment, near, doc, place = (table.column(c).to_numpy() for c in ("anchor", "segment", "near", "doc_id", "place"))
+        settled = (place & COPY) != 0
+        done_doc, done = doc[settled], place[settled] & ~COPY
+        anchor, segment, near, doc, place = (x[~settled] for x in (anchor, segment, near, doc, place))
+        order, new, copy = _alike(anchor, segment, doc, place)
+        anchor, near, doc, place = anchor[order], near[order], doc[order], place[order]
+        first = np.flatnonzero(new)
+        meets = np.zeros(len(first), bool)
+        for half in (near[first] >> 32, near[first] & 0xFFFFFFFF):  # with another segment of the anchor
+            by = np.lexsort((half, anchor[first]))
+            same = (anchor[first][by][1:] == anchor[first][by][:-1]) & (half[by][1:] == half[by][:-1]) & (half[by][1:] != 0)
+            meets[by[1:][same]] = meets[by[:-1][same]] = True
+        compare = np.zeros(len(anchor), bool)
+        compare[first[meets]] = True
+        kept = np.flatnonzero(compare | copy)
         start, size = place[kept] >> 16, place[kept] & 255
         yield from B.rows(
-            {"doc_id": doc[kept], "start": start, "end": start + size, "anchor": np.ma.array(anchor[kept], mask=copy[kept])},
+            {
+                "doc_id": np.concatenate([doc[kept], done_doc]),
+                "start": np.concatenate([start, done >> 16]),
+                "end": np.concatenate([start + size, (done >> 16) + (done & 255)]),
+                "anchor": np.ma.array(np.concatenate([anchor[kept], done]), mask=np.concatenate([copy[kept], np.ones(len(done), bool)])),
+            },
             {"doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "anchor": pa.int64()},
         )
 
-    return run
-
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The symbols of each segment that is asked for."""
@@ -156,12 +199,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(W.ids(batch, "doc_id")[rows] if len(rows) else rows), pa.array(start), pa.array(found, pa.binary())], ["anchor", "doc_id", "start", "symbols"])
 
 
-def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes], length: int, folder: str | None, spool: int = bwt.SPOOL) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes], length: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows of a collection that have an earlier occurrence in it."""
     flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
     sizes = np.diff(offsets)
-    suffixes = bwt.build(flat, offsets, folder, spool)
+    suffixes = bwt.build(flat, offsets, folder)
     docs, starts = [], []
     kept: list[np.ndarray] = []
 
@@ -206,14 +249,14 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, parts: list[bytes], len
     return np.concatenate(docs), np.concatenate(starts)
 
 
-def _suffixes(length: int, folder: str, most: int, spool: int):
+def _suffixes(length: int, folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[pa.Table] = []
         words = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.concat_tables(groups)
-            d, s = repeated_windows(table.column("doc_id").to_numpy(), table.column("start").to_numpy(), table.column("symbols").to_pylist(), length, folder, spool)
+            d, s = repeated_windows(table.column("doc_id").to_numpy(), table.column("start").to_numpy(), table.column("symbols").to_pylist(), length, folder)
             order = np.lexsort((s, d))
             d, s = d[order], s[order]
             new = np.ones(len(d), bool)
@@ -236,7 +279,7 @@ def _suffixes(length: int, folder: str, most: int, spool: int):
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union of the spans of each document; rows come sorted by document and start."""
-    for group in _chunks(batches):
+    for group in B.chunks(batches, "doc_id"):
         doc, start, end = (group.column(c).to_numpy() for c in ("doc_id", "start", "end"))
         # ends that never fall within a document: shift documents apart
         run = np.cumsum(np.concatenate([[False], doc[1:] != doc[:-1]]))
@@ -250,28 +293,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from B.rows({"doc_id": doc[first], "start_word": start[first], "n_words": stop - start[first]}, {"doc_id": pa.int64(), "start_word": pa.int64(), "n_words": pa.int64()})
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of whole documents."""
-    kept, n = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if n >= least:
-            doc = W.column(batch, "doc_id").to_numpy()
-            other = np.flatnonzero(doc != W.column(kept[-1], "doc_id")[kept[-1].num_rows - 1].as_py())
-            if len(other):
-                yield pa.Table.from_batches([*kept, batch.slice(0, int(other[0]))])
-                kept, n, batch = [], 0, batch.slice(int(other[0]))
-        kept.append(batch)
-        n += batch.num_rows
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, collection: int = COLLECTION, spool: int = bwt.SPOOL) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, collection: int = COLLECTION) -> DataFrame:
     """``(doc_id, start_word, n_words)``: the spans of each document that are repeated, disjoint and as long as can be.
 
-    Words are runs of anything but ASCII white space, compared byte by byte. The first occurrence of a
+    Words are runs of anything but ASCII white space, compared as they are. The first occurrence of a
     passage (by doc_id, then position) is in no span. Null texts, empty ones and such of fewer than
     ``length`` words have no span; a text of any length is used whole; rows without a doc_id are left
     out; rows with one doc_id are occurrences of one document; an empty table gives an empty one; only
@@ -282,14 +307,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coll
     spark = docs.sparkSession
     at = scratch(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    met = docs.mapInArrow(B.released(_anchored(length, gram)), "anchor long, segment long, doc_id long, place long").repartition("anchor").mapInArrow(B.released(_met(length)), "doc_id long, start long, end long, anchor long")
+    met = docs.mapInArrow(B.released(_anchored(length, gram)), "anchor long, segment long, near long, doc_id long, place long").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_met), "doc_id long, start long, end long, anchor long")
     marks = written(met, f"{at}/marks")
     compare = marks.where("anchor is not null")
     maybe, _ = membership.split(docs, compare.select("doc_id"))
     wanted = compare.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
     segments = maybe.join(wanted, "doc_id").mapInArrow(B.released(_cut_out), "anchor long, doc_id long, start long, symbols binary")
-    windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_suffixes(length, at, collection, spool)), "doc_id long, start long, end long")
-    spans = marks.where(f"anchor is null and end - start >= {length}").select("doc_id", "start", "end").union(windows)
+    windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_suffixes(length, at, collection)), "doc_id long, start long, end long")
+    spans = marks.where("anchor is null").select("doc_id", "start", "end").union(windows)
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(B.released(_merged), "doc_id long, start_word long, n_words long")
 
 

@@ -382,7 +382,7 @@ def test_transform_equals_sorted_suffixes(tmp_path):
             rng = np.random.default_rng(seed)
             bwt.BLOCK = 64 if seed % 2 else block
             parts = [rng.integers(1, rng.integers(2, 6), rng.integers(0, 30)).astype(np.uint32) for _ in range(rng.integers(1, 40))]
-            s = bwt.build(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), f"file://{tmp_path}" if seed % 3 == 0 else None, 100)
+            s = bwt.build(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), f"file://{tmp_path}" if seed % 3 == 0 else None)
             rows = [r for b in s.blocks() for r in b.tolist()]
             s.delete()
             want = sorted((tuple(d[i:].tolist()), k) for k, d in enumerate(parts) for i in range(len(d)))
@@ -424,7 +424,7 @@ def test_repeated_spans_equal_brute_force(spark, length, gram):
             w += base[rng.integers(0, 5)][a : a + rng.integers(5, 90)]
         texts.append(" \n".join(["x"] * rng.integers(40, 200) if i % 9 == 0 else w))
     texts += texts[:5]
-    got = {tuple(r) for r in repeats.repeated_spans(docs(spark, texts), length, gram, collection=3000, spool=1000).collect()}
+    got = {tuple(r) for r in repeats.repeated_spans(docs(spark, texts), length, gram, collection=3000).collect()}
     assert got == brute_spans(list(enumerate(texts)), length)
 
 
