@@ -22,6 +22,8 @@ from kinfold.llm import words as W
 PACKET = 188
 SYNC = 0x47
 VIDEO_PID, MAP_PID, PROGRAM = 0x100, 0x1000, 1
+#: Stream ids whose packets have no optional header: map, padding, private 2, ECM, EMM, DSM-CC, type E, directory.
+BARE = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
 #: What the writer makes: bytes of an elementary packet, ticks of 90 kHz between them, how many to a random-access point.
 PES_BYTES, TICKS, GROUP = 4096, 3600, 12
 
@@ -65,6 +67,7 @@ class Stream(NamedTuple):
     kind: int
     continuity_errors: int
     pes: list[Pes]
+    pcr: list[int]
 
 
 def packets(data: bytes) -> tuple[np.ndarray, int]:
@@ -135,10 +138,11 @@ def _cut(data: bytes) -> Iterator[bytes]:
 def parse(data: bytes) -> tuple[list[Stream], int]:
     """Elementary streams by program and PID, and the number of bytes outside packets.
 
-    Packets with the error indicator count for nothing. Null packets (PID 8191) are skipped. A packet
-    that repeats the counter of the one before is a duplicate and dropped; any other jump is a
-    continuity error, unless the discontinuity indicator announces it, and ends the elementary packet
-    in progress, which is kept as far as it came.
+    Packets with the error indicator count for nothing. Null packets (PID 8191) are skipped, and so are
+    sections that aren't current yet. A packet that repeats counter and payload of the one before is a
+    duplicate and dropped; any other counter that isn't the next is a continuity error, unless the
+    discontinuity indicator announces it, and ends the elementary packet in progress, which is kept as far
+    as it came. A stream that several programs list is there for each of them.
     """
     rows, lost = packets(data)
     rows = rows[(rows[:, 1] & 0x80) == 0] if len(rows) else rows
@@ -156,27 +160,34 @@ def parse(data: bytes) -> tuple[list[Stream], int]:
     def of(p: int) -> np.ndarray:
         return np.flatnonzero((pid == p) & has_payload)
 
-    maps: dict[int, int] = {}
-    for section in _sections(rows[k := of(0)], payload_at[k], start[k]):
-        if section[0] == 0:
-            for i in range(8, len(section) - 4, 4):
-                number, p = section[i] << 8 | section[i + 1], (section[i + 2] & 0x1F) << 8 | section[i + 3]
-                if number:
-                    maps[p] = number
-    kinds: dict[int, tuple[int, int]] = {}
-    for p, number in maps.items():
-        for section in _sections(rows[k := of(p)], payload_at[k], start[k]):
-            if section[0] == 2 and (section[3] << 8 | section[4]) == number:
+    def tables(p: int, kind: int) -> Iterator[bytes]:
+        k = of(p)
+        return (x for x in _sections(rows[k], payload_at[k], start[k]) if x[0] == kind and len(x) >= 12 and x[5] & 1)
+
+    maps: dict[int, int] = {}  # program -> PID of its map
+    for section in tables(0, 0):
+        for i in range(8, len(section) - 4, 4):
+            if number := section[i] << 8 | section[i + 1]:
+                maps[number] = (section[i + 2] & 0x1F) << 8 | section[i + 3]
+    kinds: dict[tuple[int, int], int] = {}
+    clocks: dict[int, int] = {}
+    for number, p in maps.items():
+        for section in tables(p, 2):
+            if (section[3] << 8 | section[4]) == number:
+                clocks[number] = (section[8] & 0x1F) << 8 | section[9]
                 i = 12 + ((section[10] & 0x0F) << 8 | section[11])
                 while i + 5 <= len(section) - 4:
-                    kinds[(section[i + 1] & 0x1F) << 8 | section[i + 2]] = (number, section[i])
+                    kinds[number, (section[i + 1] & 0x1F) << 8 | section[i + 2]] = section[i]
                     i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
+    clocked = np.flatnonzero((flags & 0x10 != 0) & (size >= 7))
     out = []
-    for p, (number, kind) in sorted(kinds.items(), key=lambda x: (x[1][0], x[0])):
+    for (number, p), kind in sorted(kinds.items()):
         k = of(p)
         step = (counter[k][1:].astype(int) - counter[k][:-1]) % 16
         same = np.append(False, step == 0)
-        jump = np.append(False, (step > 1)) & ((flags[k] & 0x80) == 0)
+        for i in np.flatnonzero(same).tolist():
+            same[i] = not same[i - 1] and rows[k[i], payload_at[k[i]] :].tobytes() == rows[k[i - 1], payload_at[k[i - 1]] :].tobytes()
+        jump = np.append(False, step != 1) & ~same & ((flags[k] & 0x80) == 0)
         pes: list[Pes] = []
         parts: list[bytes] = []
         first = -1
@@ -192,19 +203,30 @@ def parse(data: bytes) -> tuple[list[Stream], int]:
                 parts.append(rows[i, payload_at[i] :].tobytes())
         if parts:
             pes.append(_pes(parts, first, bool(flags[first] & 0x40)))
-        out.append(Stream(number, p, kind, int(jump.sum()), pes))
+        pcr = [_clock(rows[i]) for i in clocked[pid[clocked] == p].tolist()] if clocks.get(number) == p else []
+        out.append(Stream(number, p, kind, int(jump.sum()), pes, pcr))
     return out, lost
 
 
+def _clock(row: np.ndarray) -> int:
+    """Program clock reference of a packet, in ticks of 27 MHz."""
+    b = row[6:12].tolist()
+    return (b[0] << 25 | b[1] << 17 | b[2] << 9 | b[3] << 1 | b[4] >> 7) * 300 + ((b[4] & 1) << 8 | b[5])
+
+
 def _pes(parts: list[bytes], first: int, random_access: bool) -> Pes:
     data = b"".join(parts)
-    if len(data) < 9 or data[:3] != b"\0\0\1":
+    if len(data) < 6 or data[:3] != b"\0\0\1":
         return Pes(None, None, random_access, first, data, None)
     size = data[4] << 8 | data[5]
-    at = 9 + data[8]
+    end = 6 + size if size else len(data)
+    if data[3] in BARE:
+        return Pes(None, None, random_access, first, data[6:end], data[3])
+    if len(data) < 9:
+        return Pes(None, None, random_access, first, b"", data[3])
     pts = _stamp(data[9:14]) if data[7] & 0x80 and len(data) >= 14 else None
     dts = _stamp(data[14:19]) if data[7] & 0x40 and len(data) >= 19 else pts
-    return Pes(pts, dts, random_access, first, data[at : 6 + size] if size else data[at:], data[3])
+    return Pes(pts, dts, random_access, first, data[9 + data[8] : end], data[3])
 
 
 def _table(section: bytes, pid: int) -> bytes:
@@ -250,13 +272,17 @@ def _muxed(key: str, text: str):
 
 
 def mux_table(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, media)``: the text of each row as a transport stream; null stays null."""
+    """``(key, media)``: the text of each row as a transport stream.
+
+    A null text has null media, an empty one a stream of tables alone; null keys and repeated rows stay,
+    an empty table gives an empty one, and only the two columns are read.
+    """
     return rows.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(_muxed(key, text), f"{key} long, media binary")
 
 
 _FIELDS = {
     "program": pa.int32(), "pid": pa.int32(), "stream_type": pa.int32(), "n_pes": pa.int64(), "n_bytes": pa.int64(), "digest": pa.string(),
-    "continuity_errors": pa.int64(), "stray_bytes": pa.int64(), "pts": pa.list_(pa.int64()), "dts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()), "packet": pa.list_(pa.int64()),
+    "continuity_errors": pa.int64(), "stray_bytes": pa.int64(), "pts": pa.list_(pa.int64()), "dts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()), "packet": pa.list_(pa.int64()), "pcr": pa.list_(pa.int64()),
 }
 
 
@@ -271,7 +297,7 @@ def _parsed(key: str):
                 for s in found:
                     keys.append(k)
                     payload = b"".join(p.payload for p in s.pes)
-                    rows.append((s.program, s.pid, s.kind, len(s.pes), len(payload), hashlib.md5(payload).hexdigest(), s.continuity_errors, lost, [p.pts for p in s.pes], [p.dts for p in s.pes], [i for i, p in enumerate(s.pes) if p.random_access], [p.packet for p in s.pes]))
+                    rows.append((s.program, s.pid, s.kind, len(s.pes), len(payload), hashlib.md5(payload).hexdigest(), s.continuity_errors, lost, [p.pts for p in s.pes], [p.dts for p in s.pes], [i for i, p in enumerate(s.pes) if p.random_access], [p.packet for p in s.pes], s.pcr))
             columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, _FIELDS.values()))], [key, *_FIELDS])
 
@@ -283,9 +309,9 @@ def streams(table: DataFrame, key: str) -> DataFrame:
 
     ``pts`` and ``dts`` are the time stamps by elementary packet (90 kHz), ``random_access`` the numbers
     of those that start at a random-access point, ``packet`` the transport packet where each starts (to
-    seek by). Null and empty media, and such without a program table, have no row; a null key stays
+    seek by), ``pcr`` the program's clock references that this stream carries (27 MHz). Null and empty media, and such without a program table, have no row; a null key stays
     null; repeated rows are parsed each by itself; an empty table gives an empty one; only the key and
     ``media`` are read. No shuffle.
     """
-    names = "program int, pid int, stream_type int, n_pes long, n_bytes long, digest string, continuity_errors long, stray_bytes long, pts array<long>, dts array<long>, random_access array<long>, packet array<long>"
+    names = "program int, pid int, stream_type int, n_pes long, n_bytes long, digest string, continuity_errors long, stray_bytes long, pts array<long>, dts array<long>, random_access array<long>, packet array<long>, pcr array<long>"
     return table.select(F.col(key).cast("long").alias(key), "media").mapInArrow(_parsed(key), f"{key} long, {names}")
