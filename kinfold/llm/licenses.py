@@ -8,6 +8,7 @@ equals; one that lies within a detection taken before is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,21 +38,27 @@ class Found(NamedTuple):
     priority: int
 
 
-def rules(text: str = license_rules.TEXT) -> list[Rule]:
+#: What a space of a rule stands for: white space, or line ends with the comment marks that lines begin with.
+SPACE = r"(?:(?:[^\S\n]*\n\s*(?:[*#;%!>|]+|//+|--+|dnl|rem)(?=\s))+\s+|\s+)"
+_SPACE = re.compile(SPACE, re.IGNORECASE)
+
+
+def rules(text: str = license_rules.TEXT, space: str = SPACE) -> list[Rule]:
     out = []
     for line in filter(None, text.split("\n")):
         priority, name, keywords, expression = line.split(";", 3)
         expression = expression.replace("[- ]", "(?:-| )").replace("[ -]", "(?:-| )")  # white space in a class would be one character, or a plus
-        out.append(Rule(len(out), int(priority), name, tuple(keywords.split("|")), re.compile(expression.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE | re.DOTALL)))  # gaps cross line ends
+        expression = expression.replace(" ?", "\0").replace(" ", space).replace("\0", f"(?:{space})?")
+        out.append(Rule(len(out), int(priority), name, tuple(keywords.split("|")), re.compile(expression, re.IGNORECASE | re.DOTALL)))  # gaps cross line ends
     return out
 
 
 def folded(text: str) -> str:
-    """Lower case of the same length; white space as spaces, so that keywords of several words are met."""
+    """Lower case, with white space and comment marks as spaces, so that keywords of several words are met."""
     low = text.lower()
     if len(low) != len(text):  # some letters grow: those stay as they are
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return re.sub(r"\s+", " ", low)
+    return _SPACE.sub(" ", low) if "\n" in low else " ".join(low.split())
 
 
 class Scanner:
@@ -78,9 +85,16 @@ class Scanner:
 def resolved(found: list[Found]) -> list[Found]:
     """Those that no detection taken before contains, by place."""
     taken: list[Found] = []
+    starts: list[int] = []  # of taken ones that no other contains: both ends ascend
+    ends: list[int] = []
     for f in sorted(found, key=lambda f: (f.priority, f.start - f.end, f.start, f.rule)):
-        if not any(t.start <= f.start and f.end <= t.end for t in taken):
-            taken.append(f)
+        at = bisect_right(starts, f.start)
+        if at and ends[at - 1] >= f.end:
+            continue
+        taken.append(f)
+        at = bisect_left(starts, f.start)
+        stop = bisect_right(ends, f.end, at)
+        starts[at:stop], ends[at:stop] = [f.start], [f.end]
     return sorted(taken)
 
 
