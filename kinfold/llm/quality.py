@@ -2,7 +2,8 @@
 
 The ratio is UTF-8 bytes by compressed bytes, of the whole document and of each fixed chunk. Natural
 prose stays in a band that depends on the length: repetitive text lies above it, random or encoded
-text below. The limits are parameters. Texts of under 128 bytes can't be judged incompressible, as
+text below. A document is rejected for its chunks if bad ones of a kind hold more than a share of its
+bytes. The limits are parameters. Texts of under 128 bytes can't be judged incompressible, as
 zstandard stores prose and noise alike there, and neither can those of under 256 bytes that aren't
 mostly ASCII: short prose of thousands of characters (Chinese) compresses no better than noise.
 """
@@ -38,6 +39,7 @@ MOSTLY = 0.75
 _HIGH = bytes(range(128, 256))
 CHUNK = 4096
 LEVEL = 3
+#: Share of a document's bytes that may lie in chunks out of their band, on one side.
 MOST_BAD_CHUNKS = 0.25
 
 SCHEMA = "doc_id long, n_bytes long, ratio double, n_chunks int, high_chunks int, low_chunks int, verdict string"
@@ -65,23 +67,24 @@ def judge(text: str | None, pack, chunk: int = CHUNK, bands=BANDS, most_bad: flo
     ratio = n / len(pack(data))
     low, high = band(n, bands)
     chunks, above, below = 0, 0, 0
+    bad_high = bad_low = 0  # in bytes
     if n > chunk:
-        for at in range(0, n, chunk):
+        for at in range(0, n, chunk):  # the rest too, in the band of its own length
             piece = data[at : at + chunk]
-            if len(piece) < chunk // 4:  # a short rest says little and was seen in the whole
-                continue
             r = len(piece) / len(pack(piece))
             least, most = band(len(piece), bands)
             chunks += 1
-            above += r > most
-            below += r < least
+            if r > most:
+                above, bad_high = above + 1, bad_high + len(piece)
+            elif r < max(least, ascii_least(piece)):
+                below, bad_low = below + 1, bad_low + len(piece)
     if ratio > high:
         verdict = "repetitive"
     elif ratio < max(low, ascii_least(data)):
         verdict = "incompressible"
-    elif above > most_bad * chunks:
+    elif bad_high > most_bad * n:
         verdict = "repetitive_chunks"
-    elif below > most_bad * chunks:
+    elif bad_low > most_bad * n:
         verdict = "incompressible_chunks"
     else:
         verdict = "keep"
@@ -126,5 +129,9 @@ def _verdicts(chunk: int, bands, most_bad: float, level: int):
 
 
 def keep_good(docs: DataFrame, chunk: int = CHUNK, bands=BANDS, most_bad: float = MOST_BAD_CHUNKS, level: int = LEVEL) -> DataFrame:
-    """The rows of ``docs`` with the verdict ``keep``, all their columns unchanged, in one pass without a join."""
+    """The rows of ``docs`` with the verdict ``keep``, all their columns unchanged, in one pass without a join.
+
+    Rows whose text is null, empty or white space go; rows without a doc_id and repeated rows are judged
+    each by itself, and an empty table stays empty.
+    """
     return docs.mapInArrow(B.released(_verdicts(chunk, bands, most_bad, level)), docs.schema)
