@@ -28,7 +28,8 @@ from kinfold.llm import words as W
 from kinfold.plans.shared import scratch, written
 
 ORDER = 6
-START, STOP = 2, 3
+#: Bytes that UTF-8 never has.
+START, STOP = 0xFE, 0xFF
 SHARD_BITS = 3
 _KEEP = 1 << 22
 #: Order of the model of words, and bytes of text to a shard of it.
