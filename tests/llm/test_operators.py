@@ -53,33 +53,115 @@ def random_texts(seed, n=150, vocabulary=400):
 # 1 near-dedup
 
 
-def brute_groups(texts, threshold=neardup.THRESHOLD):
-    found, at, _, _ = neardup.shingles(pa.array(texts))
-    sets = [set() for _ in texts]
-    for h, i in zip(found.tolist(), at.tolist()):
-        sets[i].add(h)
-    root = list(range(len(texts)))
+def plain_shingles(text):
+    """Runs of words again, from their description: no case, no ASCII punctuation, a word may become empty."""
+    words = [re.sub(r"[!-/:-@\[-`{-~]", "", w) for w in re.split(r"[ \t\n\r\x0b\x0c]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {tuple(words[i : i + neardup.SHINGLE]) for i in range(max(len(words) - neardup.SHINGLE + 1, 1))} if words else set()
+
+
+def brute_links(texts, threshold=neardup.THRESHOLD):
+    sets = [plain_shingles(t) for t in texts]
+    return [(j, i) for i in range(len(texts)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
+
+
+def joined(n, links):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and both >= threshold * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {(i, find(i)) for i in range(len(texts)) if find(i) != i}
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {(i, find(i)) for i in range(n) if find(i) != i}
 
 
-@pytest.mark.parametrize("few", [neardup.FEW, 0])
-def test_near_duplicates_equal_brute_force(spark, few):
+def brute_groups(texts, threshold=neardup.THRESHOLD):
+    return joined(len(texts), brute_links(texts, threshold))
+
+
+@pytest.mark.parametrize("few,hot", [(neardup.FEW, neardup.HOT), (0, 4)])
+def test_near_duplicates_equal_brute_force(spark, few, hot):
     texts = random_texts(1)
-    got = {tuple(r) for r in neardup.near_duplicates(docs(spark, texts), few=few).collect()}
+    got = {tuple(r) for r in neardup.near_duplicates(docs(spark, texts), few=few, hot=hot).collect()}
     want = brute_groups(texts)
-    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    assert len(got & want) >= 0.95 * len(want)
+    root = dict(want)  # nothing is put together that isn't
+    assert all(root.get(a, a) == root.get(b, b) for a, b in got)
+
+
+def sketched(texts):
+    """Rows of one bucket."""
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches(neardup._sketch(iter(table.to_batches())))
+    return rows.select(["doc_id", "n", "regs"]).append_column("refused", pa.nulls(rows.num_rows, pa.list_(pa.int64())))
+
+
+def copies_in_one_bucket(seed, n, groups):
+    """Near copies of a few documents; many pairs are next to the threshold."""
+    rng = random.Random(seed)
+    base = [[f"g{g}w{i}" for i in range(60)] for g in range(groups)]
+    out = []
+    for i in range(n):
+        w = list(base[i % groups])
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("hot,doubt", [(10**6, (3.0, 4.0)), (16, (3.0, 4.0)), (10**6, (3.0, -1.5)), (16, (3.0, -1.5))])
+def test_no_link_of_a_bucket_is_lost(spark, tmp_path, monkeypatch, hot, doubt):
+    """All documents in one bucket: whatever its size, and however many sure pairs verification refuses, the groups are those of all pairs."""
+    texts = copies_in_one_bucket(3, 90, 3)
+    links = brute_links(texts)
+    monkeypatch.setattr(neardup, "DOUBT", doubt)
+    table = sketched(texts).to_pylist()
+    refused = collections.defaultdict(set)
+    for turn in range(30):
+        rows = [(1, r["doc_id"], r["n"], r["regs"], sorted(refused[r["doc_id"]]) or None) for r in table]
+        df = spark.createDataFrame(rows, "bucket long, doc_id long, n long, regs binary, refused array<long>")
+        # the functions of the group run here, so that the changed limit holds
+        found = local_pairs(df, hot, f"file://{tmp_path}/{turn}")
+        good = {(a, b) for a, b, _ in found} & set(links)
+        bad = {(a, b) for a, b, sure in found if sure} - set(links)
+        if not bad:
+            break
+        for a, b in bad:
+            refused[a].add(b)
+            refused[b].add(a)
+    assert not bad and joined(len(texts), good) == joined(len(texts), links)
+    if doubt[1] < 0:
+        assert refused  # the case was met
+
+
+def local_pairs(df, hot, folder):
+    rows = df.toPandas()
+    table = pa.table({"bucket": rows.bucket, "doc_id": rows.doc_id, "n": rows.n, "regs": pa.array(list(rows.regs), pa.binary()), "refused": pa.array([None if x is None else list(x) for x in rows.refused], pa.list_(pa.int64()))})
+    if len(rows) <= hot:
+        return [(a, b, sure) for sure, found in zip((True, False), neardup.candidate_edges(neardup.Bucket(table))) for a, b in found]
+    pivots = [{**{k: table.column(k)[i].as_py() for k in ("doc_id", "n", "regs", "refused")}} for i in range(neardup.PIVOTS)]
+    with_pivots = table.append_column("pivots", pa.array([pivots] * len(rows)))
+    seen = pa.Table.from_batches(neardup._absorbed(neardup.THRESHOLD)(iter(with_pivots.combine_chunks().to_batches()))).to_pylist()
+    left = {r["b"] for r in seen if r["a"] is None}
+    out = [(r["a"], r["b"], True) for r in seen if r["a"] is not None and r["a"] != r["b"]]
+    part = lambda ids, k: [i for i in ids if i % 8 == k]
+    for i in range(8):
+        for j in range(8):
+            own, ids = set(part(left, i)), sorted({*part(left, i), *part(range(len(rows)), j)})
+            if own:
+                group = neardup.Bucket(table.take(ids))
+                for sure, found in zip((True, False), neardup.candidate_edges(group, own=np.isin(group.ids, list(own)))):
+                    out += [(a, b, sure) for a, b in found]
+    return out
+
+
+def test_hot_buckets_in_spark(spark):
+    texts = copies_in_one_bucket(4, 120, 2) + random_texts(21, 40)
+    got, split = ({tuple(r) for r in neardup.near_duplicates(docs(spark, texts), hot=h).collect()} for h in (10**6, 10))
+    assert got == split
 
 
 def test_shingles_are_sets_of_word_runs():
