@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from kinfold.llm import batches as B
 from kinfold.llm import bwt, membership
 from kinfold.llm import words as W
+from kinfold.operators.blocks import partitions
 from kinfold.plans.shared import scratch, written
 
 LENGTH = 50
@@ -313,7 +314,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coll
     maybe, _ = membership.split(docs, compare.select("doc_id"))
     wanted = compare.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
     segments = maybe.join(wanted, "doc_id").mapInArrow(B.released(_cut_out), "anchor long, doc_id long, start long, symbols binary")
-    windows = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_suffixes(length, at, collection)), "doc_id long, start long, end long")
+    # few bytes, much work: as many tasks as there are, whatever the size
+    windows = segments.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_suffixes(length, at, collection)), "doc_id long, start long, end long")
     spans = marks.where("anchor is null").select("doc_id", "start", "end").union(windows)
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(B.released(_merged), "doc_id long, start_word long, n_words long")
 
