@@ -16,16 +16,18 @@ When few rows are left, one task does the same rounds to their end; the result d
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import batches as B
 from kinfold.plans.shared import scratch, written
+from kinfold.sources.tables import positional
 
 #: Bytes of UTF-8 in a sequence: the length in tokens for a byte-level model.
 CAPACITY = 16_384
@@ -134,29 +136,25 @@ def across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int,
     return found
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns], ["item", *batch.schema.names])
-        at += batch.num_rows
-
-
-def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK, size: Column | None = None) -> DataFrame:
     """``(bin, position, doc_id, chunk, start, n_bytes)``: every byte of every document, in sequences of at most ``capacity``.
 
-    ``chunk`` counts the pieces of a document, ``start`` is the first byte of one in its UTF-8 text,
-    ``position`` its place in the sequence. Null and empty texts take no room and have no row. Repeated
-    rows are packed each by itself, a null doc_id stays null, an empty table gives an empty one, and
-    only doc_id and text are read. Equal sizes are taken in the order of the item numbers, which go
-    by size, doc_id and chunk.
+    ``size`` is another measure of a row than the bytes of its text (its number of tokens, say): then
+    ``capacity``, ``start`` and ``n_bytes`` are in that measure. ``chunk`` counts the pieces of a document,
+    ``start`` is where one begins in its UTF-8 text (which may be within a character, as for byte-level
+    models), ``position`` its place in the sequence. Null and empty texts take no room and have no row.
+    Repeated rows are packed each by itself, a null doc_id stays null, an empty table gives an empty one,
+    and only doc_id and text are read. Items are numbered by size (descending), doc_id and chunk, equal
+    sizes are taken in that order, and sequences are numbered from 0 by their first item, so the result
+    is the same however the table is partitioned.
     """
     spark = docs.sparkSession
     at = scratch(spark, "packing")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).cast("long").alias("n")).where("n > 0")
-    pieces = sizes.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}"))).alias("chunk", "piece"))
-    pieces = pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), (F.col("piece") * capacity).cast("long").alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("size"))
-    by = [F.col("size").desc(), F.col("doc_id"), F.col("chunk")]
-    items = written(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(B.released(_numbered), "item long, doc_id long, chunk long, start long, size long"), f"{at}/items")
+    n = F.octet_length(F.col("text").cast("string")) if size is None else size
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
+    pieces = sizes.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)"))).alias("chunk", "piece"))
+    pieces = pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).alias("size"))
+    items = written(positional(pieces, [F.col("size").desc(), F.col("doc_id"), F.col("chunk")], "item"), f"{at}/items")
     # no two that fill more than half fit together
     half = capacity // 2
     own = items.where(f"size > {half}")
@@ -167,8 +165,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
     while left > one_task:
         order = ["value", "kind", "id"]
         swept = written(state.select("kind", "value", "id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(B.released(_swept), _OUT), f"{at}/sweep-{turn}")
-        found = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least")).collect()
-        counts = {p: tuple(sum(r["n"] for r in found if (r["part"], r["kind"]) == (p, k)) for k in (0, 1)) for p in {r["part"] for r in found}}
+        found = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()
+        number_of = {(r["part"], r["kind"]): r["n"] for r in found}
+        counts = {r["part"]: (number_of.get((r["part"], 0), 0), number_of.get((r["part"], 1), 0)) for r in found}
         pairs = across(counts)
         ranges = [(0, p, top - n + 1, top, key) for p, top, _, _, n, key in pairs] + [(1, q, low, low + n - 1, key) for _, _, q, low, n, key in pairs]
         table = spark.createDataFrame(ranges, "r_kind int, r_part long, low long, high long, key long")
@@ -183,7 +182,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
         number = {k: sum(r["n"] for r in found if r["kind"] == k) for k in (0, 1, 2)}
         k = to_open(total[0] - across_size, total[1] - across_size + total[2], number[2] + across_n, capacity)
         # the k largest that are left: of each partition the highest ranks below those that crossed, from the top partition down
-        crossed_of = {p: sum(n for a, _, _, _, n, _ in pairs if a == p) for p in counts}
+        crossed_of: dict[int, int] = defaultdict(int)
+        for a, _, _, _, n, _ in pairs:
+            crossed_of[a] += n
         seeds, need = [], k
         for p in sorted(counts, reverse=True):
             free = counts[p][0] - crossed_of[p]
@@ -204,19 +205,33 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK) ->
         won = swept.where("kind = 2").select("kind", "value", "id", "bin").union(new)
         if crossed is not None:
             won = won.union(crossed.select("kind", "value", "id", "bin"))
-        least = min([r["least"] for r in found if r["kind"] == 0], default=0)
         after = rest.where(~seed).select("kind", "value", "id", "bin").union(tied.where("kind = 1 and key is null").select("kind", "value", "id", "bin")).union(won)
         after = written(after, f"{at}/after-{turn}")
         placed.append(after.where("kind = 2").select("id", "bin", F.lit(turn).alias("turn")))
-        gaps = after.where(f"kind > 0 and value >= {max(least, 1)}").select(F.lit(1).alias("kind"), "value", F.col("bin").alias("id"))
-        state = after.where("kind = 0").select("kind", "value", "id").union(gaps)
+        # gaps that are too small for all that is left are closed
+        items_left, least = after.where("kind = 0").agg(F.count("*"), F.min("value")).first()
+        gaps = after.where(f"kind > 0 and value >= {max(least or 0, 1)}").select(F.lit(1).alias("kind"), "value", F.col("bin").alias("id"))
+        state = after.where("kind = 0").select("kind", "value", "id").union(gaps if items_left else gaps.where("false"))
         left, turn = state.count(), turn + 1
-        if number[0] - across_n - k == 0:
-            state, left = state.where("kind = 0"), 0
     last = state.withColumn("turn", F.lit(turn)).coalesce(1).mapInArrow(B.released(_finished(capacity)), "id long, bin long, turn int")
     placed.append(written(last, f"{at}/last"))
     every = placed[0]
     for more in placed[1:]:
         every = every.union(more)
+    firsts = positional(every.select("bin").distinct(), ["bin"], "number")
+    # positional keeps the item's number beside the new one
+    every = written(every, f"{at}/placed").join(firsts, "bin").select("id", F.col("number").alias("bin"), "turn")
     joined = every.join(items, F.col("id") == F.col("item")).select("bin", "turn", "doc_id", "chunk", "start", F.col("size").alias("n_bytes"))
-    return joined.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("turn", "doc_id", "chunk", "start", "n_bytes"))).alias("all")).select("bin", F.posexplode("all").alias("position", "x")).select("bin", F.col("position").cast("long").alias("position"), "x.doc_id", "x.chunk", "x.start", "x.n_bytes")
+    grouped = joined.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("turn", "doc_id", "chunk", "start", "n_bytes"))).alias("all"))
+    return grouped.select("bin", F.posexplode("all").alias("position", "x")).select("bin", F.col("position").cast("long").alias("position"), "x.doc_id", "x.chunk", "x.start", "x.n_bytes")
+
+
+def sequences(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(bin, data)``: the bytes of each sequence, from the pieces and the texts they are pieces of.
+
+    For documents whose doc_id is neither null nor repeated; pieces of others are left out.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).where("doc_id is not null")
+    piece = F.expr("substring(data, cast(start + 1 as int), cast(n_bytes as int))").alias("piece")
+    found = packed.join(texts, "doc_id").select("bin", "position", piece)
+    return found.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("all")).select("bin", F.expr("aggregate(all, cast('' as binary), (x, y) -> concat(x, y.piece))").alias("data"))

@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against brute force, and on awkward rows."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import math
@@ -574,6 +575,47 @@ def test_packing_equals_brute_force(spark, one_task):
     assert sum(r.n_bytes for r in got) == sum(map(len, texts))
 
 
+def first_fit(sizes, capacity):
+    """Sequential best-fit decreasing: each item into the fullest sequence that has room."""
+    gaps = []
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+def test_packing_is_as_full_as_sequential_best_fit(spark):
+    rng = np.random.default_rng(22)
+    sizes = np.minimum(rng.lognormal(3, 1, 1500).astype(int) + 1, 1000)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, n int")
+    found = packing.pack(rows, 1000, size=F.col("n")).agg(F.countDistinct("bin").alias("bins"), F.max("bin").alias("most"), F.sum("n_bytes").alias("total")).first()
+    assert found.bins <= 1.02 * first_fit(sizes.tolist(), 1000) + 1 and found.most == found.bins - 1 and found.total == sizes.sum()
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(23)
+    rows = docs(spark, ["z" * int(n) for n in rng.choice([1, 3, 7, 10, 20, 33, 50, 64, 99], 200)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n, one_task in ((3, 0), (8, 0), (8, 10**6)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, packing.pack(rows, 100, one_task).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 200
+
+
+def test_sequences_have_the_bytes_of_their_pieces(spark):
+    texts = ["ä" * 70, "abc", "defg" * 10, "", "x" * 100]
+    packed = packing.pack(docs(spark, texts), 100)
+    pieces_ = collections.defaultdict(list)
+    for r in sorted(packed.collect()):
+        pieces_[r.bin].append(texts[r.doc_id].encode()[r.start : r.start + r.n_bytes])
+    assert {r.bin: bytes(r.data) for r in packing.sequences(packed, docs(spark, texts)).collect()} == {b: b"".join(p) for b, p in pieces_.items()}
+
+
 def test_packing_of_awkward_rows(spark, awkward):
     rows = packing.pack(awkward, 1000).collect()
     assert sum(r.n_bytes for r in rows) == sum(len(t.encode()) for _, t in AWKWARD if t) and {r.doc_id for r in rows} == {3, 4, 5, 6, 7, None}
