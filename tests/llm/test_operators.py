@@ -210,6 +210,18 @@ def test_token_counts_are_the_tokenizers_own(spark, awkward):
     assert tokens.token_counts(awkward.where("false"), BPE).count() == 0
 
 
+def test_the_table_is_learned_from_the_corpus(spark):
+    encode, split = tokens.encoding(BPE).encode_ordinary, tokens.regex.compile(tokens.PATTERN).findall
+    rng = random.Random(24)
+    texts = [" ".join(rng.choices(["zqxjkv", "the", "wyvernish", "a1b2", "über", "x" * 90], k=60)) + f" once{i}" for i in range(60)]
+    words, lengths = tokens.frequent(docs(spark, texts).repartition(5), BPE, most=12)
+    table = dict(zip((w.decode() for w in words.split(b"\xff")), np.frombuffer(lengths, np.uint32).tolist()))
+    counts = collections.Counter(p for t in texts for p in split(t) if len(p.encode()) <= tokens.LONG)
+    assert set(table) == {p for p, _ in counts.most_common(12)} and table == {w: len(encode(w)) for w in table} and max(table.values()) > 1
+    assert all(split(w) == [w] for w in table)
+    assert tokens.frequent(docs(spark, texts).where("false"), BPE) == (b"", b"")
+
+
 # 3 quality rules
 
 
