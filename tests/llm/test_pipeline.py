@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import queries
+from kinfold.llm import packing, queries
 from tests.llm.test_operators import AWKWARD, LONG, SCHEMA, brute_groups, brute_pack, brute_spans, brute_verdict, random_texts
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,6 +54,20 @@ def test_run_on_the_smallest_tables(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "suffix_dedup", "packed"]
 
 
+def test_sequences_can_be_put_together_from_what_is_kept(spark, tmp_path):
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path))
+    texts, packed = (spark.read.parquet(str(tmp_path / n)) for n in ("2-suffix_dedup", "3-packed"))
+    data = {r.bin: bytes(r.data) for r in packing.sequences(packed, texts).collect()}
+    text = {r.doc_id: r.text.encode() for r in texts.collect()}
+    rows = sorted(packed.collect())
+    assert sorted(data) == list(range(len(data))) and all(len(d) <= packing.CAPACITY for d in data.values())
+    got = collections.defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.chunk)):
+        at = sum(x.n_bytes for x in rows if x.bin == r.bin and x.position < r.position)
+        got[r.doc_id] += data[r.bin][at : at + r.n_bytes]
+    assert got == {i: t for i, t in text.items() if t}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_every_query_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
