@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import as_text, char_ngrams, concat_key, normalized, title_text, typo
-from kinfold.operators import dense, link, occupations, ranking, sparse
+from kinfold.operators import dense, link, matcher, occupations, ranking, sparse
 from kinfold.operators.components import components
+from kinfold.sources import positional
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,9 +43,9 @@ def _norm(text: str) -> str:
     return f"regexp_replace(lower({text}), '\\s\\s+', ' ', 'g')"
 
 
-def _grams(source: str, low: int = 2, high: int = 4) -> str:
-    """(t, gram) of the texts t in a relation."""
-    parts = (f"SELECT t, unnest([substr(t, i::INT, {n}) for i in range(1, length(t) - {n} + 2)]) AS gram FROM {source}" for n in range(low, high + 1))
+def _grams(source: str, low: int = 2, high: int = 4, keys: str = "t") -> str:
+    """(keys, gram) of the texts t in a relation."""
+    parts = (f"SELECT {keys}, unnest([substr(t, i::INT, {n}) for i in range(1, length(t) - {n} + 2)]) AS gram FROM {source}" for n in range(low, high + 1))
     return " UNION ALL ".join(parts)
 
 
@@ -76,6 +77,32 @@ per_text AS (SELECT qt.t AS qt, corpus_idx, coalesce(score, 0.0) AS score FROM q
 lexical AS (SELECT query_idx, corpus_idx, score FROM qn JOIN per_text ON qn.t = per_text.qt)"""
 
 
+def _by_block(k: int) -> str:
+    """Relations lexical and near, for q and c with a block b each: an index for each block."""
+
+    def side(name: str, rows: str, text: str) -> str:
+        return f"""{name}t AS (SELECT b, {_norm(text)} AS t, count(*) AS n_rows FROM {rows} GROUP BY 1, 2),
+{name}g AS (SELECT b, t, gram, count(*) AS tf FROM ({_grams(name + "t", keys="b, t")}) GROUP BY 1, 2, 3),"""
+
+    def coded(name: str, rows: str, text: str) -> str:
+        return f"""{name}s AS (SELECT DISTINCT b, {text} AS s, lower({text}) AS t FROM {rows}),
+{name}h AS (SELECT b, s, (unicode(substr(t, i::INT, 1)) * 961 + unicode(substr(t, i::INT + 1, 1)) * 31 + unicode(substr(t, i::INT + 2, 1))) % 64 AS h, count(*) AS n
+  FROM (SELECT b, s, t, unnest(range(1, length(t) - 1)) AS i FROM {name}s) GROUP BY 1, 2, 3),
+{name}v AS (SELECT b, s, h, n / sqrt(sum(n * n) OVER (PARTITION BY b, s)) AS v FROM {name}h),"""
+
+    weight = "tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY b, t)) AS w"
+    return f"""{side("c", "c", "corpus_text")} {side("q", "q", "query_text")} {coded("x", "q", "query_text")} {coded("y", "c", "corpus_text")}
+idf AS (SELECT b, gram, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT b, gram, sum(n_rows) AS df FROM cg JOIN ct USING (b, t) GROUP BY 1, 2) JOIN (SELECT b, count(*) AS n FROM c GROUP BY 1) USING (b)),
+cw AS (SELECT b, t, gram, {weight} FROM cg JOIN idf USING (b, gram)), qw AS (SELECT b, t, gram, {weight} FROM qg JOIN idf USING (b, gram)),
+sim AS (SELECT m.b, m.t AS qt, o.t AS ct, round(sum(m.w * o.w), 6) AS score FROM qw m JOIN cw o USING (b, gram) GROUP BY 1, 2, 3),
+per_text AS (SELECT qt.b, qt.t AS qt, corpus_idx FROM qt JOIN (SELECT b, {_norm('corpus_text')} AS t, corpus_idx FROM c) n USING (b) LEFT JOIN sim ON sim.b = qt.b AND sim.qt = qt.t AND sim.ct = n.t
+  QUALIFY row_number() OVER (PARTITION BY qt.b, qt.t ORDER BY coalesce(score, 0.0) DESC, corpus_idx) <= {k}),
+lexical AS (SELECT query_idx, corpus_idx FROM q JOIN per_text ON q.b = per_text.b AND {_norm('query_text')} = per_text.qt),
+dsim AS (SELECT m.b, m.s AS qs, o.s AS cs, round(sum(m.v * o.v), 6) AS score FROM xv m JOIN yv o USING (b, h) GROUP BY 1, 2, 3),
+near AS (SELECT query_idx, corpus_idx FROM q JOIN (SELECT xs.b, xs.s, corpus_idx FROM xs JOIN c USING (b) LEFT JOIN dsim ON dsim.b = xs.b AND dsim.qs = xs.s AND dsim.cs = c.corpus_text
+  QUALIFY row_number() OVER (PARTITION BY xs.b, xs.s ORDER BY coalesce(score, 0.0) DESC, corpus_idx) <= {k}) n ON q.b = n.b AND q.query_text = n.s)"""
+
+
 def _vectors(side: str, name: str) -> str:
     return f"""
 {name}t AS (SELECT DISTINCT {side}_text AS s, lower({side}_text) AS t FROM {'q' if side == 'query' else 'c'}),
@@ -152,11 +179,24 @@ def ngram_idf(spark, sf_dir):
     return sparse.fit(bench_pairs(spark, sf_dir)[1]).idf.select("gram", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {BENCH}, {FIT} SELECT gram, total::BIGINT AS total FROM g ORDER BY total DESC, gram LIMIT 500")
+_CAPPED = FIT.replace("LIMIT 50000", "LIMIT 500")
+
+
+@query(f"WITH {BENCH}, {_CAPPED} SELECT gram, round(idf, 6) AS idf FROM idf")
 def vocab_cap(spark, sf_dir):
-    """The 500 most frequent grams: the report that a capped vocabulary is."""
-    c = bench_pairs(spark, sf_dir)[1].select(normalized(F.col("corpus_text")).alias("text"))
-    return c.select(F.explode(char_ngrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "gram").limit(500)
+    """Weights of a vocabulary that is capped at the 500 most frequent grams."""
+    return sparse.fit(bench_pairs(spark, sf_dir)[1], features=500).idf.select("gram", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BENCH}, {_sparse(20).replace('LIMIT 50000', 'LIMIT 500')} SELECT query_idx, corpus_idx, score FROM lexical")
+def sparse_topk_capped(spark, sf_dir):
+    q, c = bench_pairs(spark, sf_dir)
+    return sparse.topk(q, sparse.fit(c, features=500), 20)
+
+
+@query("SELECT row_number() OVER (ORDER BY c_name DESC) - 1 AS idx, c_name, c_acctbal FROM customer")
+def row_numbers(spark, sf_dir):
+    return positional(table(spark, sf_dir, "customer").select("c_name", "c_acctbal"), [F.desc("c_name")])
 
 
 @query(f"WITH {BENCH}, {FIT} SELECT corpus_idx, gram, round(w, 6) AS weight FROM (SELECT corpus_idx, {_norm('corpus_text')} AS t FROM c) JOIN cw USING (t)")
@@ -318,6 +358,72 @@ def link_blocked_fallback(spark, sf_dir):
     return link.link_blocked(*_nations(spark, sf_dir), "region", "nation", retrieval_top_k=1, overfetch=1)
 
 
+# blocks of parts and customers: many rows, equal details, fewer candidates than rows -------------
+
+
+def _with_blocks(bq: str, bc: str) -> str:
+    """Blocks of bq and bc linked to each other: relation bmap."""
+    blocks = f"""bq AS ({bq}), bc AS ({bc}),
+q AS (SELECT row_number() OVER (ORDER BY query_block) - 1 AS query_idx, query_block AS query_text FROM (SELECT DISTINCT query_block FROM bq)),
+c AS (SELECT row_number() OVER (ORDER BY corpus_block) - 1 AS corpus_idx, corpus_block AS corpus_text FROM (SELECT DISTINCT corpus_block FROM bc))"""
+    return _scored(blocks) + _BEST + ", bmap AS (SELECT query_text AS query_block, match_text AS match_block, score AS block_score FROM q LEFT JOIN best USING (query_idx))"
+
+
+_LEVEN = "round(CASE WHEN greatest(length(query_text), length(corpus_text)) = 0 THEN 1.0 ELSE 1 - levenshtein(query_text, corpus_text) / greatest(length(query_text), length(corpus_text))::DOUBLE END, 6)"
+_IN_BLOCK = f"""SELECT query_idx, bq.query_block, query_text AS query_detail, corpus_idx AS match_idx, match_block, corpus_text AS match_detail, block_score, {_LEVEN} AS detail_score
+  FROM picked JOIN bq USING (query_idx) JOIN bmap USING (query_block) JOIN bc USING (corpus_idx) QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY {_LEVEN} DESC, corpus_idx) = 1"""
+
+
+def _per_block(bq: str, bc: str, k: int) -> str:
+    """The first row of the block that has the detail of the best candidate."""
+    inner = f"WITH q AS (SELECT query_idx, query_text, match_block AS b FROM bq JOIN bmap USING (query_block)), c AS (SELECT corpus_idx, corpus_text, corpus_block AS b FROM bc), {_by_block(k)} SELECT query_idx, corpus_idx FROM lexical UNION SELECT query_idx, corpus_idx FROM near"
+    return _with_blocks(bq, bc) + f", picked AS ({inner}), top AS ({_IN_BLOCK}) SELECT top.* REPLACE ((SELECT min(corpus_idx) FROM bc WHERE corpus_block = top.match_block AND corpus_text = top.match_detail) AS match_idx) FROM top"
+
+
+_PART_BQ = f"SELECT p_partkey AS query_idx, {_typo('p_type', 'p_partkey % 3')} AS query_block, {_typo('p_name', 'p_partkey')} AS query_text FROM part"
+_PART_BC = "SELECT p_partkey AS corpus_idx, p_type AS corpus_block, p_name AS corpus_text FROM part"
+
+
+def _part_blocks(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    q = part.select(F.col("p_partkey").alias("idx"), typo(F.col("p_type"), F.col("p_partkey") % 3).alias("maker"), typo(F.col("p_name"), F.col("p_partkey")).alias("name"))
+    return q, part.select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("maker"), F.col("p_name").alias("name"))
+
+
+@query(_per_block(_PART_BQ, _PART_BC, 20))
+def link_blocked_equal_details(spark, sf_dir):
+    """Several parts of a maker have one name: the first stands for them."""
+    return link.link_blocked(*_part_blocks(spark, sf_dir), "maker", "name", mode="per_block")
+
+
+_CUSTOMER_BQ = f"SELECT c_custkey AS query_idx, c_mktsegment AS query_block, {_typo('c_name', 'c_custkey')} AS query_text FROM customer"
+_CUSTOMER_BC = "SELECT c_custkey AS corpus_idx, c_mktsegment AS corpus_block, c_name AS corpus_text FROM customer"
+
+
+@query("SELECT query_block, query_detail, match_block, match_detail, match_idx + 1 AS match_index, block_score, detail_score FROM (" + _per_block(_CUSTOMER_BQ, _CUSTOMER_BC, 30) + ")")
+def r_blocked_shape(spark, sf_dir):
+    """The blocked matcher with its own defaults: 30 candidates, rows from 1, scores asked for."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    q = c.select("idx", "segment", typo(F.col("name"), F.col("idx")).alias("name"))
+    return matcher.ensemble_link_blocked(q, c, "segment", "name", return_scores=True)
+
+
+_FETCHED_SQL = (
+    _with_blocks(_PART_BQ, _PART_BC)
+    + f", near_rows AS (WITH q AS (SELECT query_idx, query_text FROM bq), c AS (SELECT corpus_idx, corpus_text FROM bc), {_sparse(10)}, {_dense(10)} SELECT query_idx, corpus_idx FROM lexical UNION SELECT query_idx, corpus_idx FROM near),"
+    + """inside AS (SELECT query_idx, corpus_idx FROM near_rows JOIN bq USING (query_idx) JOIN bmap USING (query_block) JOIN bc USING (corpus_idx) WHERE corpus_block = match_block),
+spare AS (SELECT query_idx, corpus_idx FROM bq JOIN bmap USING (query_block) JOIN (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY corpus_block ORDER BY corpus_idx) <= 2) ON corpus_block = match_block WHERE query_idx NOT IN (SELECT query_idx FROM inside)),
+picked AS (SELECT * FROM inside UNION ALL SELECT * FROM spare) """
+    + _IN_BLOCK
+)
+
+
+@query(_FETCHED_SQL)
+def link_blocked_overfetch(spark, sf_dir):
+    """Five times two candidates of each kind out of all parts, most of other makers."""
+    return link.link_blocked(*_part_blocks(spark, sf_dir), "maker", "name", retrieval_top_k=2)
+
+
 # code lists -------------------------------------------------------------------------------------
 
 _UNIFIED = """u AS (SELECT p_name AS title, p_type AS description, CASE WHEN p_size <= 25 THEN 'historical' ELSE 'modern' END AS era, p_brand AS canonical_code,
@@ -330,6 +436,13 @@ def unified_corpus(spark, sf_dir):
     return occupations.build_unified_corpus(part.where("p_size <= 25"), part.where("p_size > 25"), ("p_name", "p_type", "p_brand"), ("p_name", "p_type", "p_brand"))
 
 
+@query(f"SELECT row_number() OVER (ORDER BY era, p_partkey) - 1 AS idx, * EXCLUDE (p_partkey) FROM ({_UNIFIED[6:-1].replace('SELECT p_name', 'SELECT p_partkey, p_name')})")
+def unified_positions(spark, sf_dir):
+    """The unified list with its row numbers: the first list's rows, then the second's."""
+    part = table(spark, sf_dir, "part")
+    return occupations.build_unified_corpus(part.where("p_size <= 25"), part.where("p_size > 25"), ("p_name", "p_type", "p_brand"), ("p_name", "p_type", "p_brand"), order=["p_partkey"])
+
+
 _CLASSIFIED = f"q AS (SELECT p_partkey AS query_idx, {_typo('p_name', 'p_partkey')} || ' :: ' || p_type AS query_text FROM part), c AS (SELECT p_partkey AS corpus_idx, p_name || ' :: ' || p_type AS corpus_text FROM part)"
 
 
@@ -395,3 +508,15 @@ def dedup_mapping(spark, sf_dir):
 @query(_CLUSTERS + " SELECT k.canonical_idx AS idx, p_name || ' ' || p_brand AS text, p_name AS title, CASE WHEN p_size <= 25 THEN 'historical' ELSE 'modern' END AS era, cluster_id, n_records, canonical_code, aliases FROM k JOIN part ON p_partkey = canonical_idx")
 def dedup_merged(spark, sf_dir):
     return occupations.deduplicate_corpus(_records(spark, sf_dir))[0]
+
+
+_CODE = "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'None' WHEN 3 THEN 'nan' ELSE p_brand END"
+
+
+@query(_LABELS + f""", r AS (SELECT p_partkey AS orig_idx, coalesce(component, p_partkey) AS cluster_id, {_CODE} AS code FROM part LEFT JOIN label ON node = p_partkey)
+SELECT cluster_id, nullif(array_to_string(list_sort(list_distinct(coalesce(list(code) FILTER (WHERE code IS NOT NULL AND code NOT IN ('', 'None', 'nan')), []))), ' | '), '') AS code, count(*) AS n_records FROM r GROUP BY 1""")
+def dedup_codes(spark, sf_dir):
+    """Codes that are null or stand for nothing don't count."""
+    code = F.expr(_CODE.replace("CASE p_partkey % 6", "CASE idx % 6").replace("p_brand", "canonical_code"))
+    rows = _records(spark, sf_dir).withColumn("code", code).select("idx", "text", "era", "code")
+    return occupations.deduplicate_corpus(rows, code_cols=["code"])[0].select("cluster_id", "code", "n_records")
