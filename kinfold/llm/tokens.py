@@ -31,7 +31,7 @@ LONG = 64
 #: Entries of the table, counters that a task hands on, and summaries that are merged into one at a time.
 TABLE = 65_536
 SUMMARY = 4 * TABLE
-FAN = 64
+FAN = 8
 
 
 def ranks(path: str) -> dict[bytes, int]:
