@@ -3,7 +3,7 @@
 ``perplexities`` counts word trigrams of all of the corpus, so the model grows with the text. Words
 are maximal runs that are not white space, known by a 64-bit hash of which the last byte is the
 length (56 bits tell words of one length apart); n-grams by a hash of which a shard compares 48 bits. Below single words, a word
-is spelled from bytes that are equally likely, so no word is unknown. Each order is one shuffle:
+is spelled from bytes that are equally likely, so no word is unknown. Each order is a shuffle or two:
 tasks count in place, a shard has all n-grams of its contexts, sums their counts, stores them as
 sorted hash arrays and hands what continues to the order below. There are as many shards as the text
 needs, and a scorer opens one at a time. White space between words isn't modelled.
@@ -15,26 +15,29 @@ corpus: for held-out text of any script where that is enough.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import batches as B
 from kinfold.llm import words as W
-from kinfold.plans.shared import scratch, written
+from kinfold.operators.blocks import partitions
+from kinfold.plans.shared import remove, scratch, written
 
 ORDER = 6
 #: Bytes that UTF-8 never has.
 START, STOP = 0xFE, 0xFF
 SHARD_BITS = 3
 _KEEP = 1 << 22
-#: Order of the model of words, and bytes of text to a shard of it.
+#: Order of the model of words, bytes of text to a shard of it, and jobs in which an order is counted.
 WORDS = 3
 WORD_SHARD = 8 << 20
+PARTS = 2
 WORD_START, WORD_STOP = np.uint64(0), np.uint64(1 << 8)
 #: Bytes that a word can have, and its end.
 BYTES_AND_END = 256 - len(W.SPACE) + 1
@@ -401,114 +404,177 @@ def _unpacked(data: bytes, order: int) -> np.ndarray:
     return np.stack([words[np.cumsum(rows[0])], *(words[r] for r in rows[1:-1]), rows[-1].view(np.uint64)])
 
 
+def _lead(n: int) -> int:
+    """Bits of a hash that the index of n entries takes; 32 more are compared."""
+    return 16 if n >= 1 << 16 else 8
+
+
+def _index(keys: np.ndarray) -> bytes:
+    """Ascending hashes: where each of their leading bits begin, and the next 32 bits of each."""
+    lead = np.uint64(_lead(len(keys)))
+    begin = np.searchsorted(keys, np.arange(1 << int(lead), dtype=np.uint64) << (np.uint64(64) - lead)).astype(np.uint32)
+    return begin.tobytes() + np.uint32(len(keys)).tobytes() + ((keys << lead) >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def _index_size(n: int) -> int:
+    return 4 * ((1 << _lead(n)) + 1 + n)
+
+
 def _stored_rows(keys: np.ndarray, values: list[np.ndarray]) -> bytes:
-    """Ascending hashes and what they have: where each leading 16 bits begin, the next 32 bits, a byte a value, values from 255 by themselves."""
-    parts = [np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.uint32), np.array([len(keys)], np.uint32)]
-    parts.append(((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    parts += [np.minimum(v, 255).astype(np.uint8) for v in values]
-    large = [np.flatnonzero(v >= 255) for v in values]
-    for v, at in zip(values, large):
-        parts += [at, v[at]]
-    return b"".join(x.tobytes() for x in [*parts, np.array([len(at) for at in large], np.int64)])
-
-
-def _found_rows(raw: np.ndarray, n: int, width: int, wanted: np.ndarray) -> np.ndarray:
-    """Values of each hash in what ``_stored_rows`` wrote, 0 where there is none."""
-    begin = raw[: 4 * ((1 << 16) + 1)].view(np.uint32)
-    at = begin.nbytes
-    low = raw[at : at + 4 * n].view(np.uint32)
-    at += 4 * n
+    """Ascending hashes and what they have, in two tables: hashes whose first value is 1, and hashes with a byte a value.
+
+    Values from 255 are by themselves at the end.
+    """
+    one = values[0] == 1
+    rest = [v[~one] for v in values]
+    parts = [np.array([one.sum(), len(rest[0])], np.int64).tobytes(), _index(keys[one]), _index(keys[~one])]
+    parts += [np.minimum(v, 255).astype(np.uint8).tobytes() for v in rest]
+    large = [np.flatnonzero(v >= 255) for v in rest]
+    for v, at in zip(rest, large):
+        parts += [at.astype(np.int64).tobytes(), v[at].astype(np.int64).tobytes()]
+    return b"".join([*parts, np.array([len(at) for at in large], np.int64).tobytes()])
+
+
+def _places(raw: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in an index, and whether it is there."""
+    lead = np.uint64(_lead(n))
+    begin = raw[: 4 * ((1 << int(lead)) + 1)].view(np.uint32)
+    low = raw[begin.nbytes : begin.nbytes + 4 * n].view(np.uint32)
+    first = (wanted >> (np.uint64(64) - lead)).astype(np.int64)
+    want = ((wanted << lead) >> np.uint64(32)).astype(np.uint32)
+    lo, stop = begin[first].astype(np.int64), begin[first + 1].astype(np.int64)
+    at, hi, left = lo, stop, np.flatnonzero(lo < stop)
+    at = lo.copy()
+    a, b, w = lo[left], hi[left], want[left]
+    while len(left):  # binary search of those that are still open
+        mid = (a + b) >> 1
+        less = low[mid] < w
+        a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        at[left] = a
+        on = a < b
+        if not on.all():
+            left, a, b, w = left[on], a[on], b[on], w[on]
+    hit = at < stop
+    hit[hit] = low[at[hit]] == want[hit]
+    return at, hit
+
+
+def _found_rows(raw: np.ndarray, width: int, wanted: np.ndarray) -> np.ndarray:
+    """Values of each hash in what ``_stored_rows`` wrote, 0 where there is none; a hash whose first value is 1 has 1 and 1, then zeros."""
+    ones, n = raw[:16].view(np.int64).tolist()
     different, of = np.unique(wanted, return_inverse=True)
-    lead = (different >> np.uint64(48)).astype(np.int64)
-    want = ((different >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    lo, stop = begin[lead].astype(np.int64), begin[lead + 1].astype(np.int64)
-    hi = stop.copy()
-    while (lo < hi).any():
-        mid = np.minimum((lo + hi) >> 1, n - 1)
-        open_ = lo < hi
-        less = open_ & (low[mid] < want)
-        lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-    place = np.minimum(lo, n - 1)
-    hit = (lo < stop) & (low[place] == want)
-    sizes = np.array(raw[len(raw) - 8 * width :]).view(np.int64)
-    rest, out = at + n * width, []
+    values = np.zeros((width, len(different)), np.int64)
+    at, hit = _places(raw[16:], ones, different)
+    values[:2, hit] = 1
+    start = 16 + _index_size(ones)
+    left = np.flatnonzero(~hit)
+    at, hit = _places(raw[start:], n, different[left])
+    at, left = at[hit], left[hit]
+    start += _index_size(n)
+    sizes = np.array(raw[len(raw) - 8 * width :]).view(np.int64).tolist()
+    rest = start + n * width
     for j in range(width):
-        value = np.where(hit, raw[at + n * j + place].astype(np.int64), 0)
-        m = int(sizes[j])
+        value = raw[start + n * j : start + n * (j + 1)][at].astype(np.int64)
+        m = sizes[j]
         if m:
-            where, what = np.array(raw[rest : rest + 8 * m]).view(np.int64), np.array(raw[rest + 8 * m : rest + 16 * m]).view(np.int64)
+            where, what = (np.array(raw[rest + 8 * m * x : rest + 8 * m * (x + 1)]).view(np.int64) for x in (0, 1))
             big = np.flatnonzero(value == 255)
-            value[big] = what[np.searchsorted(where, place[big])]
+            value[big] = what[np.searchsorted(where, at[big])]
         rest += 16 * m
-        out.append(value[of])
-    return np.array(out)
+        values[j, left] = value
+    return values[:, of]
+
 
+def _word_counts(order: int, shards: int, part: int, parts: int):
+    """Counts of the n-grams whose shards are a part of all."""
 
-def _word_counts(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in W.slices(big, "text", 16 << 20):
-                columns, rows = word_windows(W.column(batch, "text"), order)
-                columns, n, _ = _summed(columns, np.ones(len(rows), np.int64))
+                columns, _ = word_windows(W.column(batch, "text"), order)
+                own = _shard_of(columns, shards) % parts == part
+                columns = [c[own] for c in columns]
+                columns, n, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
                 yield from _packed(columns, n, shards)
 
     return run
 
 
-def _level(folder: str, order: int, shards: int):
-    """Counts of each shard's n-grams and contexts, in files; rows for the lower order, and with shard -1 - shard the sizes.
+_LEVEL = "shard long, data binary, stats array<long>"
 
-    Sizes of the orders above pass through.
-    """
+
+def _level(folder: str, order: int, shards: int):
+    """Counts of each shard's n-grams and contexts, in files; rows for the lower order, and rows of figures (shard -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(folder)
         for table in B.grouped(batches, "shard"):
             shard = table.column("shard")[0].as_py()
-            if shard < 0:
-                yield from table.to_batches()
-                continue
             whole = np.concatenate([_unpacked(d.as_py(), order) for d in table.column("data")], axis=1)
             columns, n, grams = _summed(list(whole[:-1]), whole[-1].view(np.int64))
             del whole
-            contexts, of = np.unique(chained(columns[:-1], len(n)), return_inverse=True)
-            stats = [np.bincount(of, weights=w, minlength=len(contexts)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
-            with filesystem.open_output_stream(f"{base}/grams-{order}-{shard}") as sink:  # a repeated task writes the same bytes
+            # a repeated task writes the same bytes
+            with filesystem.open_output_stream(f"{base}/grams-{order}-{shard}") as sink:
                 sink.write(_stored_rows(grams, [n]))
-            with filesystem.open_output_stream(f"{base}/contexts-{order}-{shard}") as sink:
-                sink.write(_stored_rows(contexts, stats))
-            sizes = np.array([order, len(grams), len(contexts), *((n == c).sum() for c in (1, 2, 3, 4)), n.sum()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int64()), pa.array([sizes.tobytes()], pa.binary())], ["shard", "data"])
+            if order > 1:
+                contexts, of = np.unique(chained(columns[:-1], len(n)), return_inverse=True)
+                stats = [np.bincount(of, weights=w, minlength=len(contexts)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
+                with filesystem.open_output_stream(f"{base}/contexts-{order}-{shard}") as sink:
+                    sink.write(_stored_rows(contexts, stats))
+            figures = [len(grams), *((n == c).sum() for c in (1, 2, 3, 4)), n.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))], ["shard", "data", "stats"])
             if order > 1:
                 lower, m, _ = _summed(columns[1:], np.ones(len(n), np.int64))
-                yield from _packed(lower, m, shards)
+                for b in _packed(lower, m, shards):
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["shard", "data", "stats"])
 
     return run
 
 
-def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHARD) -> dict:
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, a job's shuffle files go when it has written its table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHARD, parts: int = PARTS) -> dict:
     """Model of the words of the whole ``text`` column: what a scorer needs to open it.
 
-    One shuffle an order. The shards grow in number with the text, not in size.
+    Each order is counted in ``parts`` jobs, each for a part of the shards, so that no more than a part of
+    the counts is in a shuffle at a time. The shards grow in number with the text, not in size.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "words")
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-size // shard_bytes))
-    rows = texts.mapInArrow(B.released(_word_counts(order, shards)), "shard long, data binary")
-    for k in range(order, 0, -1):
-        rows = rows.repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int")).sortWithinPartitions("shard").mapInArrow(B.released(_level(folder, k, shards)), "shard long, data binary")
-    sizes, cut = {}, {}
-    found = [(-1 - r.shard, np.frombuffer(r.data, np.int64).tolist()) for r in rows.collect()]
-    for k in range(order, 0, -1):
-        level = [(s, v[1:]) for s, v in found if v[0] == k]
-        sizes.update({(k, s): (v[0], v[1]) for s, v in level})
-        sums = np.sum([v for _, v in level], axis=0).tolist() if level else [0] * 7
-        cut[k] = discounts(sums[2:6])
-    once, twice = sums[2], sums[3]
-    spare = once * cut[1][0] + twice * cut[1][1] + (sums[0] - once - twice) * cut[1][2]
-    return {"folder": folder, "order": order, "shards": shards, "sizes": sizes, "discounts": cut, "total": sums[6], "weight": spare / sums[6] if sums[6] else 1.0}
+    tasks = min(shards, partitions(docs))
+    level, cut, figures = [], {}, {}
+    with _freed(spark):
+        for k in range(order, 0, -1):
+            before, level = level, []
+            for part in range(parts):
+                if k == order:
+                    rows = texts.mapInArrow(B.released(_word_counts(order, shards, part, parts)), "shard long, data binary")
+                else:
+                    rows = spark.read.schema(_LEVEL).parquet(*before).where(f"shard >= 0 and shard % {parts} = {part}").select("shard", "data")
+                uri = f"{folder}/level-{k}-{part}"
+                written(rows.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(B.released(_level(folder, k, shards)), _LEVEL), uri)
+                level.append(uri)
+            for uri in before:
+                remove(uri)
+            row = spark.read.schema(_LEVEL).parquet(*level).where("shard < 0").agg(*(F.sum(F.col("stats")[i]) for i in range(6))).first()
+            figures[k] = [x or 0 for x in row]
+            cut[k] = discounts(figures[k][1:5])
+    n, once, twice, *_, total = figures[1]
+    spare = once * cut[1][0] + twice * cut[1][1] + (n - once - twice) * cut[1][2]
+    return {"folder": folder, "order": order, "shards": shards, "sizes": {k: v[0] for k, v in figures.items()}, "discounts": cut, "total": total, "weight": spare / total if total else 1.0}
 
 
 class WordModel:
@@ -518,15 +584,16 @@ class WordModel:
         self.__dict__.update(model)
         self.filesystem, self.base = fs.FileSystem.from_uri(self.folder)
 
-    def _rows(self, name: str, n: int, width: int, wanted: np.ndarray) -> np.ndarray:
+    def _rows(self, name: str, width: int, wanted: np.ndarray) -> np.ndarray:
         """Values of each hash, 0 where there is none."""
-        if not n:
-            return np.zeros((width, len(wanted)), np.int64)
         path = f"{self.base}/{name}"
-        if isinstance(self.filesystem, fs.LocalFileSystem):
-            return _found_rows(np.memmap(path, dtype=np.uint8, mode="r"), n, width, wanted)
-        with self.filesystem.open_input_stream(path) as source:
-            return _found_rows(np.frombuffer(source.read(), dtype=np.uint8), n, width, wanted)
+        try:
+            if isinstance(self.filesystem, fs.LocalFileSystem):
+                return _found_rows(np.memmap(path, dtype=np.uint8, mode="r"), width, wanted)
+            with self.filesystem.open_input_file(path) as source:
+                return _found_rows(np.frombuffer(source.read(), dtype=np.uint8), width, wanted)
+        except FileNotFoundError:  # a shard without an n-gram
+            return np.zeros((width, len(wanted)), np.int64)
 
     def p(self, columns: list[np.ndarray]) -> np.ndarray:
         """Of the last word of each n-gram after the others, interpolated from the bytes of the word up."""
@@ -534,19 +601,20 @@ class WordModel:
         for k in range(1, self.order + 1):
             part = columns[self.order - k :]
             d1, d2, d3 = self.discounts[k]
-            shard = _shard_of(part, self.shards)
+            grams = chained(part, len(out))
+            contexts = chained(part[:-1], len(out)) if k > 1 else grams
+            shard = (contexts % np.uint64(self.shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-            grams, contexts = chained(part, len(out)), chained(part[:-1], len(out))
             for a, b in zip(cuts, cuts[1:]):
-                at, s = order[a:b], int(shard[order[a]])
-                n_grams, n_contexts = self.sizes.get((k, s), (0, 0))
-                (n,) = self._rows(f"grams-{k}-{s}", n_grams, 1, grams[at])
+                at = order[a:b]
+                s = int(shard[at[0]])
+                (n,) = self._rows(f"grams-{k}-{s}", 1, grams[at])
                 share = n - np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
                 if k == 1:
                     out[at] = share / max(self.total, 1) + self.weight * out[at]
                     continue
-                total, once, twice, more = self._rows(f"contexts-{k}-{s}", n_contexts, 4, contexts[at])
+                total, once, twice, more = self._rows(f"contexts-{k}-{s}", 4, contexts[at])
                 known = np.maximum(total, 1)
                 out[at] = np.where(total > 0, (share + (d1 * once + d2 * twice + d3 * more) * out[at]) / known, out[at])
         return out

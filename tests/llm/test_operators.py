@@ -375,7 +375,7 @@ def brute_model(texts, order):
 
 
 def test_language_model(spark, awkward):
-    texts = ["the cat sat on the mat", "the dog sat", "", "a cat and a dog, ÄÖ", "the cat sat on the mat", "zzz"]
+    texts = ["the cat sat on the mat", "the dog sat", "", "\x02a", "\x03", "a cat and a dog, ÄÖ", "the cat sat on the mat", "zzz"]
     others = ["never seen xyz \x00", "ta"]
     model, p = ngrams.train(docs(spark, [*texts, None]), 4), brute_model(texts, 4)
     for r, t in zip(sorted(ngrams.score(docs(spark, texts + others), model, 4).collect()), texts + others):
@@ -435,6 +435,12 @@ def test_word_model(spark):
         assert r.n_symbols == len(t.encode()) + 1 and r.perplexity == pytest.approx(math.exp(-r.log_prob / r.n_symbols))
 
 
+def test_discounts_by_hand():
+    # Y = n1 / (n1 + 2 n2) = 10 / 20; 1 - 2 Y n2/n1, 2 - 3 Y n3/n2, 3 - 4 Y n4/n3
+    assert ngrams.discounts([10, 5, 2, 1]) == pytest.approx((0.5, 1.4, 2.0))
+    assert ngrams.discounts([0, 0, 0, 0]) == (0.5, 1.0, 1.5)
+
+
 def test_word_counts_are_packed_and_found():
     rng = np.random.default_rng(14)
     columns = [rng.integers(0, 2**64, 5, dtype=np.uint64)[rng.integers(0, 5, 3000)] for _ in range(3)]
@@ -444,10 +450,17 @@ def test_word_counts_are_packed_and_found():
         *words, m = ngrams._unpacked(b.column(1)[0].as_py(), 3)
         rows.update(zip(zip(*(w.tolist() for w in words)), m.tolist()))
     assert rows == dict(zip(zip(*(c.tolist() for c in columns)), n.tolist()))
-    raw = np.frombuffer(ngrams._stored_rows(grams, [n, n % 7]), np.uint8)
-    wanted = np.concatenate([grams[::-1], grams + np.uint64(1 << 20), np.array([0, 2**64 - 1], np.uint64)])
-    got = ngrams._found_rows(raw, len(n), 2, wanted)
-    assert n.max() > 255 and (got[0][: len(n)] == n[::-1]).all() and (got[1][: len(n)] == n[::-1] % 7).all() and not got[:, len(n) :].any()
+    n[rng.integers(0, len(n), len(n) // 2)] = 1
+    second = np.where(n == 1, 1, n % 7)
+    raw = np.frombuffer(ngrams._stored_rows(grams, [n, second]), np.uint8)
+    wanted = np.concatenate([grams[::-1], grams + np.uint64(1 << 30), np.array([0, 2**64 - 1], np.uint64)])
+    got = ngrams._found_rows(raw, 2, wanted)
+    assert n.max() > 255 and (got[0][: len(n)] == n[::-1]).all() and (got[1][: len(n)] == second[::-1]).all() and not got[:, len(n) :].any()
+    many = np.unique(rng.integers(0, 2**64, 200_000, dtype=np.uint64))
+    got = ngrams._found_rows(np.frombuffer(ngrams._stored_rows(many, [np.arange(len(many)) % 3 + 1]), np.uint8), 1, many[::7])
+    assert (got[0] == (np.arange(len(many)) % 3 + 1)[::7]).all()
+    empty = np.frombuffer(ngrams._stored_rows(many[:0], [np.zeros(0, np.int64)]), np.uint8)
+    assert not ngrams._found_rows(empty, 1, many[:5]).any()
 
 
 def test_perplexity_tells_shuffled_words_and_grows_with_the_text(spark):
@@ -466,7 +479,7 @@ def test_perplexity_tells_shuffled_words_and_grows_with_the_text(spark):
     got = [r.perplexity for r in sorted(ngrams.score_words(docs(spark, [" ".join(w) for w in held + mixed]), model).collect())]
     assert max(got[:10]) * 1.2 < min(got[10:])
     few, many = ([" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(n)] for n in (20, 160))
-    grams = lambda texts: sum(n for (k, _), (n, _) in ngrams.train_words(docs(spark, texts))["sizes"].items() if k == 3)
+    grams = lambda texts: ngrams.train_words(docs(spark, texts))["sizes"][3]
     assert grams(many) > 6 * grams(few)
 
 
