@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 
 def released(f: Callable) -> Callable:
@@ -26,6 +27,20 @@ def released(f: Callable) -> Callable:
     return run
 
 
+#: Rows and bytes of the batches that go to workers, where the session has Spark's own defaults (10,000 rows, 64 MB).
+ROWS, BYTES = 2000, "8m"
+
+
+def small(spark: SparkSession) -> None:
+    """Lets the session send whole texts in batches of ROWS and BYTES, unless it has limits of its own.
+
+    A batch is held by the executor's JVM and by its worker, coming and going, in every task.
+    """
+    for name, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BYTES)):
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, value)
+
+
 def trim() -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +49,11 @@ def split(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = BITS
         full |= np.frombuffer(zlib.decompress(bytes(p.bits)), np.uint8)
     bloom = rows.sparkSession.sparkContext.broadcast(full)
 
-    @F.pandas_udf("boolean")
-    def may_be(key: pd.Series) -> pd.Series:
-        a, b = _places(key.to_numpy(), bits)
-        return pd.Series((bloom.value[a >> 3] >> (a & 7) & 1).astype(bool) & (bloom.value[b >> 3] >> (b & 7) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def may_be(key: pa.Array) -> pa.Array:
+        a, b = _places(key.to_numpy(zero_copy_only=False), bits)
+        return pa.array((bloom.value[a >> 3] >> (a & 7) & 1).astype(bool) & (bloom.value[b >> 3] >> (b & 7) & 1).astype(bool))
 
-    # nulls are replaced before, as they would make the ids floating-point numbers there
     met = may_be(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))
     return rows.where(F.col(key).isNotNull() & met), rows.where(F.col(key).isNull() | ~met)
 

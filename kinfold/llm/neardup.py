@@ -439,6 +439,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     table gives an empty one, and only doc_id (whole numbers, or strings of them) and text are read. Up to ``few`` documents that have a
     candidate are picked out of the second scan by a broadcast of their ids; more of them by a join.
     """
+    B.small(docs.sparkSession)
     at = scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     sketches = written(docs.mapInArrow(B.released(_sketch), "doc_id long, f1 long, f2 long, n long, regs binary"), f"{at}/sketches")

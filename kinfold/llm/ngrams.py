@@ -550,6 +550,7 @@ def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHA
     the counts is in a shuffle at a time. The shards grow in number with the text, not in size.
     """
     spark = docs.sparkSession
+    B.small(spark)
     folder = scratch(spark, "words")
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -149,6 +149,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK, si
     is the same however the table is partitioned.
     """
     spark = docs.sparkSession
+    B.small(spark)
     at = scratch(spark, "packing")
     n = F.octet_length(F.col("text").cast("string")) if size is None else size
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")

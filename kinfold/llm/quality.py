@@ -115,6 +115,7 @@ def quality(docs: DataFrame, chunk: int = CHUNK, bands=BANDS, most_bad: float =
     ``empty`` (both rejected); a null doc_id stays null. Repeated rows are judged each by itself. An
     empty table gives an empty table. Texts of any length are read whole.
     """
+    B.small(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.released(_judged(chunk, bands, most_bad, level)), SCHEMA)
 
 
@@ -134,4 +135,5 @@ def keep_good(docs: DataFrame, chunk: int = CHUNK, bands=BANDS, most_bad: float
     Rows whose text is null, empty or white space go; rows without a doc_id and repeated rows are judged
     each by itself, and an empty table stays empty.
     """
+    B.small(docs.sparkSession)
     return docs.mapInArrow(B.released(_verdicts(chunk, bands, most_bad, level)), docs.schema)

@@ -306,6 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coll
     if not 0 < gram < length <= 120:
         raise ValueError("0 < gram < length <= 120")
     spark = docs.sparkSession
+    B.small(spark)
     at = scratch(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     met = docs.mapInArrow(B.released(_anchored(length, gram)), "anchor long, segment long, near long, doc_id long, place long").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.released(_met), "doc_id long, start long, end long, anchor long")
