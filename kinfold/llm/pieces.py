@@ -295,5 +295,9 @@ def _decoded(path: str):
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``(doc_id, text)`` of rows with ``doc_id`` and ``ids``; null ids give a null text."""
+    """``(doc_id, text)`` of rows with ``doc_id`` and ``ids``.
+
+    Null ids give a null text, no ids an empty one; a null doc_id stays null, repeated rows are decoded each
+    by itself, an empty table gives an empty one; other columns aren't read.
+    """
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decoded(model), "doc_id long, text string")

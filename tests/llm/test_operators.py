@@ -318,6 +318,23 @@ def test_cover_by_backtracking_equals_merging():
         assert own.cover(w) == own.merge(w)
 
 
+def test_long_words_take_linear_time():
+    model, own = sentencepiece.SentencePieceProcessor(model_file=SP), pieces.Encoder(SP)
+    rng = random.Random(26)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "中文日本語" * 4000, "".join(rng.choice("ACGT") for _ in range(20_000))):
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == model.encode(text)
+    began = time.time()
+    assert len(own.encode("".join(rng.choice("theandinoraglysmt") for _ in range(2 << 20)))) > 1 << 20
+    assert time.time() - began < 60
+
+
+def test_merges_by_heap_equal_plain_ones():
+    own, rng = pieces.Pieces(SP), random.Random(27)
+    for _ in range(300):
+        w = "▁" + "".join(rng.choice("theandinoraglysmtß中") for _ in range(rng.randrange(1, 48)))
+        assert own._merge_long(w) == own.merge(w)
+
+
 # 5 WARC
 
 
