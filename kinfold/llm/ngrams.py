@@ -3,7 +3,7 @@
 ``perplexities`` counts word trigrams of all of the corpus, so the model grows with the text. Words
 are maximal runs that are not white space, known by a 64-bit hash of which the last byte is the
 length (56 bits tell words of one length apart); n-grams by a hash of which a shard compares 48 bits. Below single words, a word
-is spelled from bytes that are equally likely, so no word is unknown. Each order is a shuffle or two:
+is spelled from bytes that are equally likely, so no word is unknown. Each order is a few shuffles, one after the other:
 tasks count in place, a shard has all n-grams of its contexts, sums their counts, stores them as
 sorted hash arrays and hands what continues to the order below. There are as many shards as the text
 needs, and a scorer opens one at a time. White space between words isn't modelled.
@@ -37,7 +37,7 @@ _KEEP = 1 << 22
 #: Order of the model of words, bytes of text to a shard of it, and jobs in which an order is counted.
 WORDS = 3
 WORD_SHARD = 8 << 20
-PARTS = 2
+PARTS = 4
 WORD_START, WORD_STOP = np.uint64(0), np.uint64(1 << 8)
 #: Bytes that a word can have, and its end.
 BYTES_AND_END = 256 - len(W.SPACE) + 1
