@@ -531,6 +531,11 @@ def _level(folder: str, order: int, shards: int):
     return run
 
 
+def _level_rows(spark: SparkSession, uri: str, part: int) -> DataFrame:
+    """What the jobs of an order have for a part of the shards; part -1 has the figures."""
+    return spark.read.schema(f"{_LEVEL}, job int, part int").parquet(uri).where(f"part = {part}")
+
+
 @contextmanager
 def _freed(spark: SparkSession) -> Iterator[None]:
     """Meanwhile, a job's shuffle files go when it has written its table."""
@@ -547,7 +552,8 @@ def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHA
     """Model of the words of the whole ``text`` column: what a scorer needs to open it.
 
     Each order is counted in ``parts`` jobs, each for a part of the shards, so that no more than a part of
-    the counts is in a shuffle at a time. The shards grow in number with the text, not in size.
+    the counts is in a shuffle at a time; what a job has counted of the order above goes when its own table
+    is written. The shards grow in number with the text, not in size.
     """
     spark = docs.sparkSession
     B.small(spark)
@@ -556,23 +562,25 @@ def train_words(docs: DataFrame, order: int = WORDS, shard_bytes: int = WORD_SHA
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-size // shard_bytes))
     tasks = min(shards, partitions(docs))
-    level, cut, figures = [], {}, {}
+    cut, figures = {}, {}
     with _freed(spark):
         for k in range(order, 0, -1):
-            before, level = level, []
+            level, above = f"{folder}/level-{k}", f"{folder}/level-{k + 1}"
             for part in range(parts):
                 if k == order:
                     rows = texts.mapInArrow(B.released(_word_counts(order, shards, part, parts)), "shard long, data binary")
                 else:
-                    rows = spark.read.schema(_LEVEL).parquet(*before).where(f"shard >= 0 and shard % {parts} = {part}").select("shard", "data")
-                uri = f"{folder}/level-{k}-{part}"
-                written(rows.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(B.released(_level(folder, k, shards)), _LEVEL), uri)
-                level.append(uri)
-            for uri in before:
-                remove(uri)
-            row = spark.read.schema(_LEVEL).parquet(*level).where("shard < 0").agg(*(F.sum(F.col("stats")[i]) for i in range(6))).first()
+                    rows = _level_rows(spark, above, part).select("shard", "data")
+                counted = rows.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(B.released(_level(folder, k, shards)), _LEVEL)
+                counted.withColumn("part", F.col("shard") % parts).write.mode("overwrite").partitionBy("part").parquet(f"{level}/job={part}")
+                for job in range(parts if k < order else 0):
+                    remove(f"{above}/job={job}/part={part}")
+            row = _level_rows(spark, level, -1).agg(*(F.sum(F.col("stats")[i]) for i in range(6))).first()
             figures[k] = [x or 0 for x in row]
             cut[k] = discounts(figures[k][1:5])
+            if k < order:
+                remove(above)
+        remove(level)
     n, once, twice, *_, total = figures[1]
     spare = once * cut[1][0] + twice * cut[1][1] + (n - once - twice) * cut[1][2]
     return {"folder": folder, "order": order, "shards": shards, "sizes": {k: v[0] for k, v in figures.items()}, "discounts": cut, "total": total, "weight": spare / total if total else 1.0}
