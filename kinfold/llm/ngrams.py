@@ -6,7 +6,9 @@ length (56 bits tell words of one length apart); n-grams by a hash of which a sh
 is spelled from bytes that are equally likely, so no word is unknown. Each order is a few shuffles, one after the other:
 tasks count in place, a shard has all n-grams of its contexts, sums their counts, stores them as
 sorted hash arrays and hands what continues to the order below. There are as many shards as the text
-needs, and a scorer opens one at a time. White space between words isn't modelled.
+needs. A scorer opens a few one after the other; of more than DIRECT, texts ask the shards for the counts of
+their n-grams and get them back, through a shuffle each way, so that a shard is read once and not once for
+every few texts. White space between words isn't modelled.
 
 ``train`` and ``score`` have the same model over bytes (order 6), which is small at any size of the
 corpus: for held-out text of any script where that is enough.
@@ -14,7 +16,8 @@ corpus: for held-out text of any script where that is enough.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -38,6 +41,10 @@ _KEEP = 1 << 22
 WORDS = 3
 WORD_SHARD = 8 << 20
 PARTS = 4
+#: Shards that a scorer opens itself; bytes of text that ask together, and parts of the texts that ask one after the other.
+DIRECT = 384
+ASKING = 8 << 20
+TURNS = 4
 WORD_START, WORD_STOP = np.uint64(0), np.uint64(1 << 8)
 #: Bytes that a word can have, and its end.
 BYTES_AND_END = 256 - len(W.SPACE) + 1
@@ -593,7 +600,7 @@ class WordModel:
         self.__dict__.update(model)
         self.filesystem, self.base = fs.FileSystem.from_uri(self.folder)
 
-    def _rows(self, name: str, width: int, wanted: np.ndarray) -> np.ndarray:
+    def rows(self, name: str, width: int, wanted: np.ndarray) -> np.ndarray:
         """Values of each hash, 0 where there is none."""
         path = f"{self.base}/{name}"
         try:
@@ -604,39 +611,182 @@ class WordModel:
         except FileNotFoundError:  # a shard without an n-gram
             return np.zeros((width, len(wanted)), np.int64)
 
-    def p(self, columns: list[np.ndarray]) -> np.ndarray:
+    def counts(self, k: int, part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each n-gram of order k, and the four of its context, from all shards."""
+        grams = chained(part, len(part[0]))
+        contexts = chained(part[:-1], len(grams)) if k > 1 else grams
+        n, of = np.zeros((1, len(grams)), np.int64), np.zeros((4, len(grams)), np.int64)
+        shard = (contexts % np.uint64(self.shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        for a, b in zip(cuts, cuts[1:]):
+            at = order[a:b]
+            s = int(shard[at[0]])
+            n[:, at] = self.rows(f"grams-{k}-{s}", 1, grams[at])
+            if k > 1:
+                of[:, at] = self.rows(f"contexts-{k}-{s}", 4, contexts[at])
+        return n[0], of
+
+    def p(self, columns: list[np.ndarray], counts: Callable | None = None) -> np.ndarray:
         """Of the last word of each n-gram after the others, interpolated from the bytes of the word up."""
         out = float(BYTES_AND_END) ** -((columns[-1] & np.uint64(255)).astype(np.float64) + 1)
         for k in range(1, self.order + 1):
-            part = columns[self.order - k :]
             d1, d2, d3 = self.discounts[k]
-            grams = chained(part, len(out))
-            contexts = chained(part[:-1], len(out)) if k > 1 else grams
-            shard = (contexts % np.uint64(self.shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-            for a, b in zip(cuts, cuts[1:]):
-                at = order[a:b]
-                s = int(shard[at[0]])
-                (n,) = self._rows(f"grams-{k}-{s}", 1, grams[at])
-                share = n - np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
-                if k == 1:
-                    out[at] = share / max(self.total, 1) + self.weight * out[at]
-                    continue
-                total, once, twice, more = self._rows(f"contexts-{k}-{s}", 4, contexts[at])
-                known = np.maximum(total, 1)
-                out[at] = np.where(total > 0, (share + (d1 * once + d2 * twice + d3 * more) * out[at]) / known, out[at])
+            n, (total, once, twice, more) = (counts or self.counts)(k, columns[self.order - k :])
+            share = n - np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
+            if k == 1:
+                out = share / max(self.total, 1) + self.weight * out
+            else:
+                out = np.where(total > 0, (share + (d1 * once + d2 * twice + d3 * more) * out) / np.maximum(total, 1), out)
         return out
 
 
-def _words_scored(model: dict):
+def _by_shards(hashes: np.ndarray, shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in the order of their shards, where those of each shard begin, and the place of each."""
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return hashes[order], np.searchsorted(shard[order], np.arange(shards + 1)), place
+
+
+def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values, ascending, where one of each is, and which of them each is."""
+    order = np.argsort(x)
+    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    of = np.empty(len(x), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    return x[first], first, of
+
+
+def _asked(columns: list[np.ndarray], shards: int) -> list[tuple]:
+    """Of n-grams of one order the different ones and then their different contexts, each ``_by_shards`` with the places of all."""
+    grams, first, of = _different(chained(columns, len(columns[0])))
+    contexts = chained([c[first] for c in columns[:-1]], len(first)) if columns[1:] else grams
+    there, starts, place = _by_shards(grams, contexts % np.uint64(shards), shards)
+    out = [(there, starts, place[of])]
+    if columns[1:]:
+        different, _, context_of = _different(contexts)
+        there, starts, place = _by_shards(different, different % np.uint64(shards), shards)
+        out.append((there, starts, place[context_of][of]))
+    return out
+
+
+def _files(order: int) -> list[tuple[str, int]]:
+    """Names and widths of a shard's tables, as ``_asked`` has them for the orders from 1."""
+    return [x for k in range(1, order + 1) for x in [(f"grams-{k}", 1), (f"contexts-{k}", 4)][: 1 + (k > 1)]]
+
+
+def _batch_name(text: pa.Array) -> str:
+    """By content: the same texts ask the same."""
+    buf, offsets = W.text_buffers(text)
+    name = hashlib.blake2b(offsets.tobytes(), digest_size=16)
+    name.update(np.ascontiguousarray(buf))
+    name.update(B.not_null(text).tobytes())
+    return name.hexdigest()
+
+
+def _asks(model: dict):
+    """For each shard the hashes that a few texts ask it for: 6 bytes of each, as the tables compare no more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = WordModel(model)
+        order, shards = model["order"], model["shards"]
         for big in batches:
-            for batch in W.slices(big, "text", 8 << 20):
+            for batch in W.slices(big, "text", ASKING):
                 text = W.column(batch, "text")
-                columns, row = word_windows(text, model["order"])
-                total = np.bincount(row, weights=np.log(opened.p(columns)), minlength=batch.num_rows)
+                columns, _ = word_windows(text, order)
+                asked = [(np.ascontiguousarray(there.view(np.uint8).reshape(-1, 8)[:, 2:]), starts) for k in range(1, order + 1) for there, starts, _ in _asked(columns[order - k :], shards)]
+                sizes = np.stack([np.diff(starts) for _, starts in asked], axis=1).astype(np.int64)
+                some = np.flatnonzero(sizes.any(axis=1))
+                name = _batch_name(text)
+                for i in range(0, len(some), 64):
+                    part = some[i : i + 64]
+                    data = [b"".join([sizes[s].tobytes(), *(h[starts[s] : starts[s + 1]].tobytes() for h, starts in asked)]) for s in part.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int64()), pa.array(data, pa.binary())], ["batch", "shard", "data"])
+
+    return run
+
+
+def _answers(model: dict):
+    """What each shard has of what it was asked for; it is read once for all who ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, files = WordModel(model), _files(model["order"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for table in B.grouped(batches, "shard"):
+            shard = table.column("shard")[0].as_py()
+            raw = [np.frombuffer(d.as_buffer(), np.uint8) for d in table.column("data")]
+            sizes = np.stack([r[: 8 * len(files)].view(np.int64) for r in raw])
+            begin = 8 * len(files) + 6 * np.concatenate([np.zeros((len(raw), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1)
+            found = []
+            for j, (name, width) in enumerate(files):
+                wanted = np.zeros((int(sizes[:, j].sum()), 8), np.uint8)
+                wanted[:, 2:] = np.concatenate([r[b[j] : b[j + 1]] for r, b in zip(raw, begin.tolist())]).reshape(-1, 6)
+                found.append(opened.rows(f"{name}-{shard}", width, wanted.view(np.uint64)[:, 0]))
+            ends = np.cumsum(sizes, axis=0)
+            for i, batch in enumerate(table.column("batch")):
+                parts = [_planes(row) for j, rows in enumerate(found) for row in rows[:, ends[i, j] - sizes[i, j] : ends[i, j]]]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.as_py()]), pa.array([shard], pa.int64()), pa.array([pack(sizes[i].tobytes() + b"".join(parts))], pa.binary())], ["batch", "shard", "data"])
+
+    return run
+
+
+def _kept_answers(folder: str):
+    """A file of the answers to each batch, by shard; rows come sorted by both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = fs.FileSystem.from_uri(folder)
+        for table in B.grouped(batches, "batch"):
+            name, data = table.column("batch")[0].as_py(), dict(zip(table.column("shard").to_pylist(), table.column("data").to_pylist()))  # batches of the same texts ask the same
+            with filesystem.open_output_stream(f"{base}/{name}") as sink:  # a repeated task writes the same bytes
+                sink.write(np.array([len(data), *map(len, data.values())], np.int64).tobytes() + b"".join(data.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["batch"])
+
+    return run
+
+
+def _answered(raw: bytes, order: int) -> list[np.ndarray]:
+    """Values of all that was asked, one array for each of ``_files``."""
+    files, unpack = _files(order), zstandard.ZstdDecompressor().decompress
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw[8 : 8 * (n + 1)], np.int64))
+    found: list[list[np.ndarray]] = [[] for _ in files]
+    for a, b in zip([8 * (n + 1), *ends.tolist()], ends.tolist()):
+        data = np.frombuffer(unpack(raw[a:b]), np.uint8)
+        at = 8 * len(files)
+        for x, (_, width), size in zip(found, files, data[:at].view(np.int64).tolist()):
+            x.append(np.ascontiguousarray(data[at : at + 8 * size * width].reshape(width, 8, size).transpose(0, 2, 1)).view(np.int64)[:, :, 0])
+            at += 8 * size * width
+    return [np.concatenate(x, axis=1) for x in found]
+
+
+def _told(found: list[np.ndarray], shards: int) -> Callable:
+    """``WordModel.counts`` out of the answers, for the orders from 1."""
+    rest = iter(found)
+
+    def counts(k: int, part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        places = [at for *_, at in _asked(part, shards)]
+        return next(rest)[0][places[0]], next(rest)[:, places[1]] if k > 1 else np.zeros((4, 1), np.int64)
+
+    return counts
+
+
+def _words_scored(model: dict, answers: str | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, order = WordModel(model), model["order"]
+        filesystem, base = fs.FileSystem.from_uri(answers or model["folder"])
+        for big in batches:
+            for batch in W.slices(big, "text", ASKING):
+                text = W.column(batch, "text")
+                columns, row = word_windows(text, order)
+                counts = None
+                if answers:
+                    try:
+                        with filesystem.open_input_stream(f"{base}/{_batch_name(text)}") as source:
+                            counts = _told(_answered(source.read(), order), model["shards"])
+                    except FileNotFoundError:  # no text, or rows that came together otherwise when they asked
+                        pass
+                total = np.bincount(row, weights=np.log(opened.p(columns, counts)), minlength=batch.num_rows)
                 size = np.diff(W.text_buffers(text)[1]) + 1
                 none = ~B.not_null(text)
                 yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array(size, pa.int64(), mask=none), pa.array(total, mask=none), pa.array(np.exp(-total / size), mask=none)], ["doc_id", "n_symbols", "log_prob", "perplexity"])
@@ -644,9 +794,33 @@ def _words_scored(model: dict):
     return run
 
 
-def score_words(docs: DataFrame, model: dict) -> DataFrame:
-    """As ``score``, under a model of words: ``log_prob`` is that of the words and the stop, ``n_symbols`` still bytes and stop."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.released(_words_scored(model)), "doc_id long, n_symbols long, log_prob double, perplexity double")
+def score_words(docs: DataFrame, model: dict, turns: int = TURNS, direct: int = DIRECT) -> DataFrame:
+    """As ``score``, under a model of words: ``log_prob`` is that of the words and the stop, ``n_symbols`` still bytes and stop.
+
+    Up to ``direct`` shards are opened for every few texts. Beyond, the texts ask them in ``turns``, so that no
+    more than a part of what they ask for is in a shuffle at a time; the scores are the same.
+    """
+    spark = docs.sparkSession
+    B.small(spark)
+    schema = "doc_id long, n_symbols long, log_prob double, perplexity double"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if model["shards"] <= direct:
+        return rows.mapInArrow(B.released(_words_scored(model)), schema)
+    folder = scratch(spark, "answers")
+    tasks = min(model["shards"], partitions(docs))
+    every = None
+    with _freed(spark):
+        for turn in range(turns):
+            own = rows.where(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
+            answers = f"{folder}/{turn}"
+            filesystem, path = fs.FileSystem.from_uri(answers)
+            filesystem.create_dir(path)
+            asks = own.mapInArrow(B.released(_asks(model)), "batch string, shard long, data binary").repartition(tasks, "shard").sortWithinPartitions("shard")
+            found = asks.mapInArrow(B.released(_answers(model)), "batch string, shard long, data binary").repartition(tasks, "batch").sortWithinPartitions("batch", "shard")
+            found.mapInArrow(B.released(_kept_answers(answers)), "batch string").write.mode("overwrite").parquet(f"{folder}/names-{turn}")
+            scored = own.mapInArrow(B.released(_words_scored(model, answers)), schema)
+            every = scored if every is None else every.union(scored)
+    return every
 
 
 def perplexities(docs: DataFrame, order: int = WORDS) -> DataFrame:

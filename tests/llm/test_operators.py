@@ -500,6 +500,28 @@ def test_word_counts_are_packed_and_found():
     assert not ngrams._found_rows(empty, 1, many[:5]).any()
 
 
+def test_shards_are_read_once_for_all_that_ask(spark, tmp_path, monkeypatch):
+    texts = [*random_texts(12, 60, 40), "", None, "the cat", "the cat"]
+    model = ngrams.train_words(docs(spark, texts[:50]), 3, 100)
+    batches = [pa.record_batch({"doc_id": pa.array(range(i, i + 4), pa.int64()), "text": pa.array(texts[i : i + 4], pa.string())}) for i in range(0, 64, 4)]
+    log_p = lambda b: np.bincount((x := ngrams.word_windows(b.column(1), 3))[1], weights=np.log(ngrams.WordModel(model).p(x[0])), minlength=4)
+    expected = np.concatenate([log_p(b) for b in batches])
+    reads, rows = [], ngrams.WordModel.rows
+    monkeypatch.setattr(ngrams.WordModel, "rows", lambda self, name, *rest: reads.append(name) or rows(self, name, *rest))
+    asks = pa.Table.from_batches(ngrams._asks(model)(iter([*batches, batches[0]]))).sort_by("shard")
+    found = pa.Table.from_batches(ngrams._answers(model)(iter(asks.to_batches()))).sort_by([("batch", "ascending"), ("shard", "ascending")])
+    assert len(asks) > 2 * model["shards"] and len(reads) == len(set(reads)) <= 5 * model["shards"]
+    uri = f"file://{tmp_path}"
+    assert sum(b.num_rows for b in ngrams._kept_answers(uri)(iter(found.to_batches()))) == len(batches)
+    reads.clear()
+    got = pa.Table.from_batches(ngrams._words_scored(model, uri)(iter(batches)))
+    assert not reads and [x or 0 for x in got.column("log_prob").to_pylist()] == expected.tolist()
+    other = batches[0].slice(1, 2)  # nobody asked for it
+    assert next(ngrams._words_scored(model, uri)(iter([other]))).column("log_prob").to_pylist() == expected[1:3].tolist() and reads
+    asked, opened = (sorted(ngrams.score_words(docs(spark, texts), model, direct=d).collect()) for d in (0, 10**6))
+    assert asked == opened and len(asked) == len(texts)
+
+
 def test_perplexity_tells_shuffled_words_and_grows_with_the_text(spark):
     rng = random.Random(13)
     after = {i: [rng.randrange(300) for _ in range(4)] for i in range(300)}  # prose: each word has four that follow
