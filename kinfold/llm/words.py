@@ -17,7 +17,8 @@ SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_WINDOW = 1 << 20
+#: Bytes that are summed at a time: a worker keeps two numbers of 8 bytes for each of them.
+_WINDOW = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -472,6 +472,19 @@ def test_word_model(spark):
         assert r.n_symbols == len(t.encode()) + 1 and r.perplexity == pytest.approx(math.exp(-r.log_prob / r.n_symbols))
 
 
+def test_word_hashes_keep_little_and_need_no_window(monkeypatch):
+    words = ngrams.W
+    text = "some words of any length \u4e2d\u6587 " * 12_000 + "x" * 5000 + " end"
+    buf, offsets = words.text_buffers(pa.array([text]))
+    starts, ends, _ = words.word_spans(buf, offsets)
+    monkeypatch.setattr(words, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    whole = words.word_hashes(buf, starts, ends)
+    assert len(buf) > 2 * words._WINDOW and sum(p.nbytes for p in words._POWERS) < 4 << 20
+    for window in (64, 1 << 20):
+        monkeypatch.setattr(words, "_WINDOW", window)
+        assert (words.word_hashes(buf, starts, ends) == whole).all()
+
+
 def test_discounts_by_hand():
     # Y = n1 / (n1 + 2 n2) = 10 / 20; 1 - 2 Y n2/n1, 2 - 3 Y n3/n2, 3 - 4 Y n4/n3
     assert ngrams.discounts([10, 5, 2, 1]) == pytest.approx((0.5, 1.4, 2.0))
