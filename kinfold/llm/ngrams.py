@@ -368,6 +368,12 @@ def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(first) else n, grams[first]
 
 
+def _encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in the order in which they come, and which of them each is; by a hash table, as sorting takes longer."""
+    found = pa.array(x).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def _planes(x: np.ndarray) -> bytes:
     """int64 by bytes of equal weight, which compress well."""
     return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -375,7 +381,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _packed(columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """A row for each shard with its n-grams and counts: a list of words, and the n-grams as places in it, in order."""
-    words, places = np.unique(np.concatenate(columns), return_inverse=True)
+    words, places = _encoded(np.concatenate(columns))
     places = places.reshape(len(columns), -1)
     if len(words).bit_length() * len(columns) < 64:
         key = places[0].astype(np.uint64)
@@ -469,13 +475,12 @@ def _places(raw: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np
 def _found_rows(raw: np.ndarray, width: int, wanted: np.ndarray) -> np.ndarray:
     """Values of each hash in what ``_stored_rows`` wrote, 0 where there is none; a hash whose first value is 1 has 1 and 1, then zeros."""
     ones, n = raw[:16].view(np.int64).tolist()
-    different, of = np.unique(wanted, return_inverse=True)
-    values = np.zeros((width, len(different)), np.int64)
-    at, hit = _places(raw[16:], ones, different)
+    values = np.zeros((width, len(wanted)), np.int64)
+    at, hit = _places(raw[16:], ones, wanted)
     values[:2, hit] = 1
     start = 16 + _index_size(ones)
     left = np.flatnonzero(~hit)
-    at, hit = _places(raw[start:], n, different[left])
+    at, hit = _places(raw[start:], n, wanted[left])
     at, left = at[hit], left[hit]
     start += _index_size(n)
     sizes = np.array(raw[len(raw) - 8 * width :]).view(np.int64).tolist()
@@ -489,7 +494,7 @@ def _found_rows(raw: np.ndarray, width: int, wanted: np.ndarray) -> np.ndarray:
             value[big] = what[np.searchsorted(where, at[big])]
         rest += 16 * m
         values[j, left] = value
-    return values[:, of]
+    return values
 
 
 def _word_counts(order: int, shards: int, part: int, parts: int):
@@ -605,7 +610,7 @@ class WordModel:
         path = f"{self.base}/{name}"
         try:
             if isinstance(self.filesystem, fs.LocalFileSystem):
-                return _found_rows(np.memmap(path, dtype=np.uint8, mode="r"), width, wanted)
+                return _found_rows(np.asarray(np.memmap(path, dtype=np.uint8, mode="r")), width, wanted)
             with self.filesystem.open_input_file(path) as source:
                 return _found_rows(np.frombuffer(source.read(), dtype=np.uint8), width, wanted)
         except FileNotFoundError:  # a shard without an n-gram
@@ -614,18 +619,29 @@ class WordModel:
     def counts(self, k: int, part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Count of each n-gram of order k, and the four of its context, from all shards."""
         grams = chained(part, len(part[0]))
-        contexts = chained(part[:-1], len(grams)) if k > 1 else grams
-        n, of = np.zeros((1, len(grams)), np.int64), np.zeros((4, len(grams)), np.int64)
-        shard = (contexts % np.uint64(self.shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        if k == 1:
+            return self.of_words("grams-1", 1, grams)[0], np.zeros((4, 1), np.int64)
+        contexts = chained(part[:-1], len(grams))
+        shard = contexts % np.uint64(self.shards)
+        n = self.found(f"grams-{k}", 1, grams, shard)[0]
+        return n, self.of_words("contexts-2", 4, contexts) if k == 2 else self.found(f"contexts-{k}", 4, contexts, shard)
+
+    def of_words(self, name: str, width: int, words: np.ndarray) -> np.ndarray:
+        """Values of single words, each of which is asked for once, as they repeat; n-grams of more words mostly don't."""
+        different, of = _encoded(words)
+        return self.found(name, width, different, different % np.uint64(self.shards))[:, of]
+
+    def found(self, name: str, width: int, wanted: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Values of each hash in its shard, which is asked in the order of its index."""
+        out = np.zeros((width, len(wanted)), np.int64)
+        order = np.argsort((wanted >> np.uint64(48)).astype(np.uint16), kind="stable")
+        shard = shard.astype(np.uint16 if self.shards < 1 << 16 else np.int64)[order]
+        by = np.argsort(shard, kind="stable")
+        order, shard = order[by], shard[by].astype(np.int64)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         for a, b in zip(cuts, cuts[1:]):
-            at = order[a:b]
-            s = int(shard[at[0]])
-            n[:, at] = self.rows(f"grams-{k}-{s}", 1, grams[at])
-            if k > 1:
-                of[:, at] = self.rows(f"contexts-{k}-{s}", 4, contexts[at])
-        return n[0], of
+            out[:, order[a:b]] = self.rows(f"{name}-{shard[a]}", width, wanted[order[a:b]])
+        return out
 
     def p(self, columns: list[np.ndarray], counts: Callable | None = None) -> np.ndarray:
         """Of the last word of each n-gram after the others, interpolated from the bytes of the word up."""
@@ -722,7 +738,8 @@ def _answers(model: dict):
             for j, (name, width) in enumerate(files):
                 wanted = np.zeros((int(sizes[:, j].sum()), 8), np.uint8)
                 wanted[:, 2:] = np.concatenate([r[b[j] : b[j + 1]] for r, b in zip(raw, begin.tolist())]).reshape(-1, 6)
-                found.append(opened.rows(f"{name}-{shard}", width, wanted.view(np.uint64)[:, 0]))
+                different, of = np.unique(wanted.view(np.uint64)[:, 0], return_inverse=True)  # texts ask the same
+                found.append(opened.rows(f"{name}-{shard}", width, different)[:, of])
             ends = np.cumsum(sizes, axis=0)
             for i, batch in enumerate(table.column("batch")):
                 parts = [_planes(row) for j, rows in enumerate(found) for row in rows[:, ends[i, j] - sizes[i, j] : ends[i, j]]]

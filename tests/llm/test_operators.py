@@ -472,6 +472,27 @@ def test_word_model(spark):
         assert r.n_symbols == len(t.encode()) + 1 and r.perplexity == pytest.approx(math.exp(-r.log_prob / r.n_symbols))
 
 
+def test_word_model_asks_once_for_each_word(spark, monkeypatch):
+    texts = [f"the same words {i % 3} and the same words again" for i in range(300)]
+    opened = ngrams.WordModel(ngrams.train_words(docs(spark, texts), 3, 100))
+    columns, _ = ngrams.word_windows(pa.array(texts), 3)
+    asked = collections.Counter()
+    found = ngrams._found_rows
+    monkeypatch.setattr(ngrams, "_found_rows", lambda raw, width, wanted: asked.update((width, int(h)) for h in wanted) or found(raw, width, wanted))
+    for k in (1, 2, 3):
+        asked.clear()
+        part = columns[3 - k :]
+        n, (total, once, twice, more) = opened.counts(k, part)
+        one = [times for (width, _), times in asked.items() if width == (1 if k == 1 else 4)]
+        assert one and (k == 3 or set(one) == {1})
+        if k == 3:
+            grams = collections.Counter(zip(*(c.tolist() for c in part)))
+            contexts = collections.Counter(zip(*(c.tolist() for c in part[:-1])))
+            assert n.tolist() == [grams[g] for g in zip(*(c.tolist() for c in part))]
+            assert total.tolist() == [contexts[g] for g in zip(*(c.tolist() for c in part[:-1]))]
+            assert (once + twice + more > 0).all()
+
+
 def test_word_hashes_keep_little_and_need_no_window(monkeypatch):
     words = ngrams.W
     text = "some words of any length \u4e2d\u6587 " * 12_000 + "x" * 5000 + " end"
