@@ -171,7 +171,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, one_task: int = ONE_TASK, si
         counts = {r["part"]: (number_of.get((r["part"], 0), 0), number_of.get((r["part"], 1), 0)) for r in found}
         pairs = across(counts)
         ranges = [(0, p, top - n + 1, top, key) for p, top, _, _, n, key in pairs] + [(1, q, low, low + n - 1, key) for _, _, q, low, n, key in pairs]
-        table = spark.createDataFrame(ranges, "r_kind int, r_part long, low long, high long, key long")
+        names = {"r_kind": pa.int32(), "r_part": pa.int64(), "low": pa.int64(), "high": pa.int64(), "key": pa.int64()}
+        table = spark.createDataFrame(pa.table({k: pa.array([r[j] for r in ranges], t) for j, (k, t) in enumerate(names.items())}))
         tied = swept.join(table, (F.col("kind") == F.col("r_kind")) & (F.col("part") == F.col("r_part")) & F.col("rank").between(F.col("low"), F.col("high")), "left")
         tied = tied.withColumn("step", F.when(F.col("kind") == 0, F.col("high") - F.col("rank")).otherwise(F.col("rank") - F.col("low")))
         crossing = tied.where("kind = 0 and key is not null").select("key", "step", F.col("id").alias("item"), F.col("value").alias("size"))

@@ -5,8 +5,11 @@ import bisect
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -493,6 +496,28 @@ def test_word_model_asks_once_for_each_word(spark, monkeypatch):
             assert (once + twice + more > 0).all()
 
 
+def test_workers_of_arrow_functions_load_no_pandas():
+    program = """
+import pyarrow as pa
+import sys
+from kinfold.llm import quality
+batch = pa.RecordBatch.from_pydict({"text": pa.StringArray.from_buffers(1, pa.py_buffer(b"\\0\\0\\0\\0\\1\\0\\0\\0"), pa.py_buffer(b"x"))})
+assert [b.num_rows for b in quality.B.released(quality._verdicts(4096, quality.BANDS, 0.25, 3))(iter([batch]))] == [1]
+assert "pandas" not in sys.modules
+assert pa.StringArray.from_buffers(1, pa.py_buffer(b"\\0\\0\\0\\0\\1\\0\\0\\0"), pa.py_buffer(b"x")).to_pandas().tolist() == ["x"]
+import pandas
+assert pa.array(pandas.Series([1.0, None])).null_count == 1
+"""
+    subprocess.run([sys.executable, "-c", program], check=True, cwd=os.path.abspath(f"{quality.__file__}/../../.."))
+
+
+def test_small_tables_of_packing_need_no_python_worker(spark):
+    rows = packing.positional(spark.createDataFrame([("b",), ("a",)], "name string"), ["name"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+    assert [(r.idx, r.name) for r in rows.orderBy("idx").collect()] == [(0, "a"), (1, "b")]
+
+
 def test_word_hashes_keep_little_and_need_no_window(monkeypatch):
     words = ngrams.W
     text = "some words of any length \u4e2d\u6587 " * 12_000 + "x" * 5000 + " end"
