@@ -41,6 +41,8 @@ _KEEP = 1 << 22
 WORDS = 3
 WORD_SHARD = 8 << 20
 PARTS = 4
+#: N-grams that a task gathers before it counts them.
+COUNTED = 1 << 19
 #: Shards that a scorer opens itself; bytes of text that ask together, and parts of the texts that ask one after the other.
 DIRECT = 384
 ASKING = 8 << 20
@@ -326,11 +328,8 @@ def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return every, np.minimum(ends[of], np.append(every[1:], len(buf))), doc[of]
 
 
-def word_windows(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Words (a hash, its last byte the word's length) of the n-grams that end in each word and stop, one array a place, and their rows.
-
-    Rows that are null have none.
-    """
+def _flat_words(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, each with its starts and stop; where the n-gram that ends in each word or stop begins, and its row."""
     buf, offsets = W.text_buffers(column)
     starts, ends, doc = spans(buf, offsets)
     words = (W.word_hashes(buf, starts, ends) & ~np.uint64(255)) | np.minimum(ends - starts, 255).astype(np.uint64)
@@ -342,7 +341,16 @@ def word_windows(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.nda
     flat[np.arange(len(words)) + np.repeat(begin + order - 1 - (np.cumsum(n) - n), n)] = words
     flat[last - 1] = WORD_STOP
     at = np.arange(n.sum() + len(n)) + np.repeat(begin - (np.cumsum(n + 1) - n - 1), n + 1)
-    return [flat[at + j] for j in range(order)], np.repeat(rows, n + 1)
+    return flat, at, np.repeat(rows, n + 1)
+
+
+def word_windows(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words (a hash, its last byte the word's length) of the n-grams that end in each word and stop, one array a place, and their rows.
+
+    Rows that are null have none.
+    """
+    flat, at, rows = _flat_words(column, order)
+    return [flat[at + j] for j in range(order)], rows
 
 
 def chained(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -353,10 +361,9 @@ def chained(columns: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
+def _shard_of(context: list[np.ndarray], shards: int) -> np.ndarray:
     """By context, so that a context's n-grams are together; words by themselves."""
-    key = columns[:-1] or columns
-    return (chained(key, len(key[0])) % np.uint64(shards)).astype(np.int64)
+    return (chained(context, len(context[0])) % np.uint64(shards)).astype(np.int64)
 
 
 def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -374,29 +381,57 @@ def _encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """int64 by bytes of equal weight, which compress well."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The lower bytes of int64 by bytes of equal weight, which compress well."""
+    return np.ascontiguousarray(x.astype(np.int64 if width == 8 else np.int32).view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _key(places: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each n-gram as one number."""
+    key = places[0].astype(np.uint64)
+    for c in places[1:]:
+        key <<= np.uint64(bits)
+        key |= c.astype(np.uint64)
+    return key
 
 
 def _packed(columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """A row for each shard with its n-grams and counts: a list of words, and the n-grams as places in it, in order."""
     words, places = _encoded(np.concatenate(columns))
     places = places.reshape(len(columns), -1)
-    if len(words).bit_length() * len(columns) < 64:
-        key = places[0].astype(np.uint64)
-        for c in places[1:]:
-            key = (key << np.uint64(len(words).bit_length())) | c.astype(np.uint64)
-        order = np.argsort(key)
-    else:
-        order = np.lexsort(places[::-1])
-    shard = _shard_of([c[order] for c in columns], shards)
+    bits = len(words).bit_length()
+    order = np.argsort(_key(places, bits)) if bits * len(columns) < 64 else np.lexsort(places[::-1])
+    yield from _pieces(words, places[:, order], n[order], shards)
+
+
+def _packed_once(columns: list[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    """As ``_packed``, of n-grams that repeat and are counted here."""
+    words, places = _encoded(np.concatenate(columns))
+    bits = len(words).bit_length()
+    if bits * len(columns) >= 64:
+        columns, n, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
+        yield from _packed(columns, n, shards)
+        return
+    key = _key(places.reshape(len(columns), -1), bits)
+    del places
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n, key = np.diff(first, append=len(key)), key[first]
+    mask = np.uint64((1 << bits) - 1)
+    places = np.stack([((key >> np.uint64(bits * j)) & mask).astype(np.int32) for j in range(len(columns) - 1, -1, -1)])
+    del key, first
+    yield from _pieces(words, places, n, shards)
+
+
+def _pieces(words: np.ndarray, places: np.ndarray, n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_packed``, out of different n-grams in order."""
+    shard = _shard_of([words[p] for p in places[: max(1, len(places) - 1)]], shards)
     by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-    order, shard = order[by], shard[by]
+    places, n, shard = places[:, by], n[by], shard[by]
     cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
     pack = zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(cuts, cuts[1:]):
-        part = places[:, order[a:b]]
+        part = places[:, a:b]
         if part.size * 8 < len(words):
             used, own = np.unique(part, return_inverse=True)
             own = own.reshape(part.shape)
@@ -404,17 +439,18 @@ def _packed(columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[p
             seen = np.zeros(len(words), bool)
             seen[part] = True
             used, own = np.flatnonzero(seen), (np.cumsum(seen) - 1)[part]
-        data = [np.int64(len(used)).tobytes(), words[used].tobytes(), _planes(np.diff(own[0], prepend=0)), *map(_planes, own[1:]), _planes(n[order[a:b]])]
+        width = 4 if max(len(used), int(n[a:b].max())) < 1 << 31 else 8
+        data = [np.array([len(used), width], np.int64).tobytes(), words[used].tobytes(), _planes(np.diff(own[0], prepend=0), width), *(_planes(x, width) for x in own[1:]), _planes(n[a:b], width)]
         yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int64()), pa.array([pack(b"".join(data))], pa.binary())], ["shard", "data"])
 
 
 def _unpacked(data: bytes, order: int) -> np.ndarray:
     """Words of each place and, last, the counts (int64 as uint64)."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    used = int(raw[:8].view(np.int64)[0])
-    words = raw[8 : 8 + 8 * used].view(np.uint64)
-    rows = np.ascontiguousarray(raw[8 + 8 * used :].reshape(order + 1, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
-    return np.stack([words[np.cumsum(rows[0])], *(words[r] for r in rows[1:-1]), rows[-1].view(np.uint64)])
+    used, width = raw[:16].view(np.int64).tolist()
+    words = raw[16 : 16 + 8 * used].view(np.uint64)
+    rows = np.ascontiguousarray(raw[16 + 8 * used :].reshape(order + 1, width, -1).transpose(0, 2, 1)).view(np.int64 if width == 8 else np.int32)[:, :, 0]
+    return np.stack([words[np.cumsum(rows[0])], *(words[r] for r in rows[1:-1]), rows[-1].astype(np.uint64)])
 
 
 def _lead(n: int) -> int:
@@ -453,22 +489,23 @@ def _places(raw: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np
     lead = np.uint64(_lead(n))
     begin = raw[: 4 * ((1 << int(lead)) + 1)].view(np.uint32)
     low = raw[begin.nbytes : begin.nbytes + 4 * n].view(np.uint32)
-    first = (wanted >> (np.uint64(64) - lead)).astype(np.int64)
+    first = (wanted >> (np.uint64(64) - lead)).astype(np.int32)
     want = ((wanted << lead) >> np.uint64(32)).astype(np.uint32)
-    lo, stop = begin[first].astype(np.int64), begin[first + 1].astype(np.int64)
-    at, hi, left = lo, stop, np.flatnonzero(lo < stop)
-    at = lo.copy()
-    a, b, w = lo[left], hi[left], want[left]
-    while len(left):  # binary search of those that are still open
-        mid = (a + b) >> 1
-        less = low[mid] < w
-        a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
-        at[left] = a
-        on = a < b
-        if not on.all():
-            left, a, b, w = left[on], a[on], b[on], w[on]
+    if n < 1 << 30:
+        begin = begin.view(np.int32)
+    at, stop = begin.take(first, mode="clip"), begin[1:].take(first, mode="clip")
+    if not n or not len(wanted):
+        return at.astype(np.int64), np.zeros(len(wanted), bool)
+    # all entries of a place's bucket before ``at`` are less; steps of halving size, with no branches
+    step = 1 << max(int((stop - at).max()).bit_length() - 1, 0)
+    while step:
+        on = at + at.dtype.type(step)
+        less = low.take(on - at.dtype.type(1), mode="clip") < want
+        less &= on <= stop
+        at += less * at.dtype.type(step)
+        step >>= 1
     hit = at < stop
-    hit[hit] = low[at[hit]] == want[hit]
+    hit &= low.take(at, mode="clip") == want
     return at, hit
 
 
@@ -501,13 +538,23 @@ def _word_counts(order: int, shards: int, part: int, parts: int):
     """Counts of the n-grams whose shards are a part of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        waiting = 0
         for big in batches:
-            for batch in W.slices(big, "text", 16 << 20):
-                columns, _ = word_windows(W.column(batch, "text"), order)
-                own = _shard_of(columns, shards) % parts == part
-                columns = [c[own] for c in columns]
-                columns, n, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
-                yield from _packed(columns, n, shards)
+            for batch in W.slices(big, "text", ASKING):
+                flat, at, _ = _flat_words(W.column(batch, "text"), order)
+                context = max(1, order - 1)
+                shard = _shard_of([flat[j : len(flat) - context + 1 + j] for j in range(context)], shards)
+                at = at[(shard % parts == part)[at]]
+                kept.append([flat[at + j] for j in range(order)])
+                waiting += len(at)
+                del flat, at, shard
+                if waiting >= COUNTED:
+                    columns, kept, waiting = [np.concatenate(c) for c in zip(*kept)], [], 0
+                    yield from _packed_once(columns, shards)
+                    del columns
+        if waiting:
+            yield from _packed_once([np.concatenate(c) for c in zip(*kept)], shards)
 
     return run
 
@@ -533,11 +580,11 @@ def _level(folder: str, order: int, shards: int):
                 stats = [np.bincount(of, weights=w, minlength=len(contexts)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
                 with filesystem.open_output_stream(f"{base}/contexts-{order}-{shard}") as sink:
                     sink.write(_stored_rows(contexts, stats))
+                del contexts, of, stats
             figures = [len(grams), *((n == c).sum() for c in (1, 2, 3, 4)), n.sum()]
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))], ["shard", "data", "stats"])
             if order > 1:
-                lower, m, _ = _summed(columns[1:], np.ones(len(n), np.int64))
-                for b in _packed(lower, m, shards):
+                for b in _packed_once(columns[1:], shards):
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["shard", "data", "stats"])
 
     return run
@@ -638,9 +685,12 @@ class WordModel:
         shard = shard.astype(np.uint16 if self.shards < 1 << 16 else np.int64)[order]
         by = np.argsort(shard, kind="stable")
         order, shard = order[by], shard[by].astype(np.int64)
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        wanted = wanted[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            out[:, order[a:b]] = self.rows(f"{name}-{shard[a]}", width, wanted[order[a:b]])
+            values = self.rows(f"{name}-{shard[a]}", width, wanted[a:b])
+            for row, value in zip(out, values):
+                row[order[a:b]] = value
         return out
 
     def p(self, columns: list[np.ndarray], counts: Callable | None = None) -> np.ndarray:
@@ -649,7 +699,7 @@ class WordModel:
         for k in range(1, self.order + 1):
             d1, d2, d3 = self.discounts[k]
             n, (total, once, twice, more) = (counts or self.counts)(k, columns[self.order - k :])
-            share = n - np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
+            share = n - np.array([0.0, d1, d2, d3])[np.minimum(n, 3)]
             if k == 1:
                 out = share / max(self.total, 1) + self.weight * out
             else:

@@ -14,8 +14,6 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = b" \t\n\r\x0b\x0c"
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACE)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes that are summed at a time: a worker keeps two numbers of 8 bytes for each of them.
 _WINDOW = 1 << 17
@@ -63,18 +61,17 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    black = ~_IS_SPACE[buf]
+    black = (buf - np.uint8(9) > 4) & (buf != 32)  # SPACE, by comparisons
     first = black.copy()
     first[1:] &= ~black[:-1]
     cuts = offsets[:-1][offsets[:-1] < n]
     first[cuts] = black[cuts]
-    last = black
     last = black.copy()
     last[:-1] &= ~black[1:]
     before = cuts[cuts > 0] - 1
     last[before] = black[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:

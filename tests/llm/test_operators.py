@@ -559,6 +559,33 @@ def test_word_counts_are_packed_and_found():
     assert not ngrams._found_rows(empty, 1, many[:5]).any()
 
 
+def test_small_batches_are_counted_together():
+    texts = [*random_texts(15, 60, 40), "", None, "the cat", "the cat"]
+    batches = [pa.record_batch({"doc_id": pa.array(range(i, i + 4), pa.int64()), "text": pa.array(texts[i : i + 4], pa.string())}) for i in range(0, 64, 4)]
+    expected = collections.Counter(g for b in batches for g in zip(*(c.tolist() for c in ngrams.word_windows(b.column(1), 3)[0])))
+    got, pieces = collections.Counter(), collections.Counter()
+    for part in range(3):
+        for b in ngrams._word_counts(3, 9, part, 3)(iter(batches)):
+            pieces.update(b.column(0).to_pylist())
+            *words, n = ngrams._unpacked(b.column(1)[0].as_py(), 3)
+            got.update(dict(zip(zip(*(w.tolist() for w in words)), n.tolist())))
+            assert b.column(0)[0].as_py() % 3 == part
+    assert got == expected and max(expected.values()) > 1 and set(pieces.values()) == {1}
+
+
+def test_many_different_words_are_counted_too():
+    rng = np.random.default_rng(16)
+    columns = [rng.integers(0, 2**64, 40, dtype=np.uint64)[rng.integers(0, 40, 500)] for _ in range(12)]  # 12 places of 9 bits: over 64
+    columns = [np.append(c, c[:100]) for c in columns]
+    rows = collections.Counter()
+    for b in ngrams._packed_once(columns, 3):
+        *words, n = ngrams._unpacked(b.column(1)[0].as_py(), 12)
+        rows.update(dict(zip(zip(*(w.tolist() for w in words)), n.tolist())))
+    assert rows == collections.Counter(zip(*(c.tolist() for c in columns)))
+    large = np.array([1 << 40, 3])
+    assert ngrams._unpacked(next(ngrams._packed([c[:2] for c in columns[:1]], large, 1)).column(1)[0].as_py(), 1)[-1].tolist() in ([1 << 40, 3], [3, 1 << 40])
+
+
 def test_shards_are_read_once_for_all_that_ask(spark, tmp_path, monkeypatch):
     texts = [*random_texts(12, 60, 40), "", None, "the cat", "the cat"]
     model = ngrams.train_words(docs(spark, texts[:50]), 3, 100)
