@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 2048
 RESIDENT = 16 * BLOCK
+#: Rows that a task of a join or sort gets, about.
+ROWS = 50_000
 #: Folders by hash of the ``by`` value.
 FOLDERS = 256
 
@@ -36,6 +38,11 @@ def partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """n rows by hash of the keys, in tasks of at most about ``ROWS``; few stay as they are."""
+    return rows if n <= ROWS else rows.repartition(max(partitions(rows), -(-n // ROWS)), *keys)
+
+
 def select(scores: np.ndarray, ids: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
     """(scores, ids, more...), one row a query: its k best, score descending, then id. What isn't scores is a row for all or one for each."""
     rest = [np.broadcast_to(x, scores.shape) for x in (ids, *more)]

@@ -184,10 +184,16 @@ def topk(queries: DataFrame, index: SparseIndex, k: int) -> DataFrame:
     return expanded(found, index.texts, index.rows, [*by, "text"], same, k)
 
 
-def expanded(found: DataFrame, texts: DataFrame, rows: DataFrame, keys: Sequence[str], same: DataFrame, k: int) -> DataFrame:
-    """Rows of text matches: ``found`` has the first row of each side's text, ``same`` (query_idx, q_first)."""
-    few = Window.partitionBy("first").orderBy("corpus_idx")
-    heads = rows.join(texts.select(*keys, "first"), list(keys)).select("first", "corpus_idx").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k)
-    best = found.select(F.col("query_idx").alias("q_first"), F.col("corpus_idx").alias("first"), "score").join(heads.select("first", "corpus_idx"), "first")
+def lowest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """``(keys..., corpus_idx)``: the k lowest rows of each key. Evenly spread rows are cut to that before they meet by key."""
+    few = Window.partitionBy(*keys).orderBy("corpus_idx")
+    even = blocks.spread(rows.select(*keys, "corpus_idx"), rows.count(), "corpus_idx")
+    return even.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).drop("r")
+
+
+def expanded(found: DataFrame, texts: DataFrame, rows: DataFrame, keys: Sequence[str], same: DataFrame | None, k: int) -> DataFrame:
+    """Rows of text matches: ``found`` has the first row of each side's text, ``same`` (query_idx, q_first), or None where all are different."""
+    heads = lowest(rows, keys, k).join(texts.select(*keys, "first"), list(keys)).select("first", "corpus_idx")
+    best = found.select(F.col("query_idx").alias("q_first"), F.col("corpus_idx").alias("first"), "score").join(heads, "first")
     best = top_k(best, k, ["q_first"]).select("q_first", "corpus_idx", "score")
-    return same.join(best, "q_first").select("query_idx", "corpus_idx", "score")
+    return best.withColumnRenamed("q_first", "query_idx") if same is None else same.join(best, "q_first").select("query_idx", "corpus_idx", "score")
