@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import as_text, title_text
 from kinfold.operators import dense, sparse
 from kinfold.operators.components import ONE_TASK, components
-from kinfold.operators.link import Encoder, Index, candidates, index_of, keyed
+from kinfold.operators.link import Encoder, Index, candidates, index_of, keyed, matched, once, scored
 from kinfold.operators.ranking import Scorer, best_match, levenshtein_ratio, pair_scores, shortlist
 from kinfold.sources.tables import positional
 
@@ -55,20 +55,32 @@ def classify(queries: DataFrame, corpus: DataFrame | Index, query_column: str =
     """
     q = keyed(queries, query_id, query_column, None, "query")
     index = corpus if isinstance(corpus, Index) else index_of(corpus, corpus_column, None, corpus_id, encoder, ngrams, features)
-    scored = pair_scores(candidates(q, index, retrieval_top_k), q, index.corpus, scorer)
+    texts = once(q)
+    found = scored(texts, index, retrieval_top_k, scorer)
     if second_stage is None:
-        best = best_match(scored)
+        rows = matched(q, texts, best_match(found))
+    elif isinstance(second_stage, Column):  # it may use the query's number
+        rows = _picked(matched(q, texts, _tops(shortlist(found, second_stage_top_n))), second_stage)
     else:
-        best = second_pick(shortlist(scored, second_stage_top_n), second_stage)
-    return q.join(best, "query_idx", "left").select("query_idx", "query_text", "match_idx", "match_text", "score")
+        rows = matched(q, texts, second_pick(shortlist(found, second_stage_top_n), second_stage))
+    return rows.select("query_idx", "query_text", "match_idx", "match_text", "score")
 
 
 def second_pick(listed: DataFrame, second_stage: Callable[[str, list[str]], int] | Column) -> DataFrame:
     """``(query_idx, match_idx, match_text, score)`` out of a shortlist."""
-    rows = listed.groupBy("query_idx", "query_text").agg(F.array_sort(F.collect_list(F.struct("rank", "corpus_idx", "corpus_text", "score"))).alias("top"))
+    return _picked(_tops(listed), second_stage).drop("query_text")
+
+
+def _tops(listed: DataFrame) -> DataFrame:
+    """``(query_idx, query_text, top)``: a shortlist as one list a query."""
+    return listed.groupBy("query_idx", "query_text").agg(F.array_sort(F.collect_list(F.struct("rank", "corpus_idx", "corpus_text", "score"))).alias("top"))
+
+
+def _picked(rows: DataFrame, second_stage: Callable[[str, list[str]], int] | Column) -> DataFrame:
+    """``(query_idx, query_text, match_idx, match_text, score)`` of ``(query_idx, query_text, top)``; without a list there is no match."""
     rows = rows.withColumn("texts", F.transform("top", lambda x: x["corpus_text"]))
     if isinstance(second_stage, Column):
-        place = second_stage
+        place = F.when(F.col("top").isNotNull(), second_stage)
     else:
 
         @F.pandas_udf("int")
@@ -78,7 +90,7 @@ def second_pick(listed: DataFrame, second_stage: Callable[[str, list[str]], int]
         place = pick("query_text", "texts")
     at = F.coalesce(place.cast("int"), F.lit(0))
     rows = rows.withColumn("at", at).withColumn("at", F.when((F.col("at") >= 0) & (F.col("at") < F.size("top")), F.col("at")).otherwise(0))
-    return rows.withColumn("x", F.col("top")[F.col("at")]).select("query_idx", F.col("x.corpus_idx").alias("match_idx"), F.col("x.corpus_text").alias("match_text"), "x.score")
+    return rows.withColumn("x", F.col("top")[F.col("at")]).select("query_idx", "query_text", F.col("x.corpus_idx").alias("match_idx"), F.col("x.corpus_text").alias("match_text"), "x.score")
 
 
 def duplicate_pairs(rows: DataFrame, idx: str = "idx", text: str = "text", threshold: float = 0.95, retrieval_top_k: int = TOP_K, encoder=dense.hashed_ngrams, scorer: Scorer = levenshtein_ratio) -> DataFrame:

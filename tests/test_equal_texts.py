@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tests.test_entry import SF, rows
 
 N = 3000
-NAMES = "candidate_union".split()
+NAMES = "candidate_union classify".split()
 
 
 @pytest.fixture(scope="module")
