@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import as_text, title_text
 from kinfold.operators import dense, sparse
 from kinfold.operators.components import ONE_TASK, components
-from kinfold.operators.link import Encoder, Index, candidates, index_of, keyed, matched, once, scored
+from kinfold.operators.link import Encoder, Index, fit, for_all, index_of, keyed, matched, of_texts, once, scored
 from kinfold.operators.ranking import Scorer, best_match, levenshtein_ratio, pair_scores, shortlist
 from kinfold.sources.tables import positional
 
@@ -96,8 +96,11 @@ def _picked(rows: DataFrame, second_stage: Callable[[str, list[str]], int] | Col
 def duplicate_pairs(rows: DataFrame, idx: str = "idx", text: str = "text", threshold: float = 0.95, retrieval_top_k: int = TOP_K, encoder=dense.hashed_ngrams, scorer: Scorer = levenshtein_ratio) -> DataFrame:
     """``(query_idx, corpus_idx, score)``: pairs that the lower row retrieves and whose score reaches the threshold."""
     q, c = keyed(rows, idx, text, None, "query"), keyed(rows, idx, text, None, "corpus")
-    found = candidates(q, c, retrieval_top_k, encoder=encoder).where("corpus_idx > query_idx")
-    return pair_scores(found, q, c, scorer).where(F.col("score") >= threshold).select("query_idx", "corpus_idx", "score")
+    index, texts = fit(c, encoder=encoder), once(q)
+    # above the lowest row of a text, then above each row that has it
+    found = of_texts(texts, index, retrieval_top_k).where("corpus_idx > query_idx")
+    near = pair_scores(found, texts, index.corpus, scorer).where(F.col("score") >= threshold).select("query_idx", "corpus_idx", "score")
+    return for_all(q, texts, near, later=True)
 
 
 def deduplicate_corpus(corpus: DataFrame, idx: str = "idx", text_col: str = "text", era_col: str = "era", code_cols: Sequence[str] = CODES, score_threshold: float = 0.95, retrieval_top_k: int = TOP_K, title_col: str = "title", preferred_era: str = "modern", encoder=dense.hashed_ngrams, scorer: Scorer = levenshtein_ratio, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,16 @@
 """Many rows with few texts: what is found for a text is found once, and shuffles carry rows, not rows times candidates."""
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kinfold.operators import occupations
 from tests.test_entry import SF, rows
 
 N = 3000
-NAMES = "candidate_union classify".split()
+NAMES = "candidate_union classify dedup_mapping".split()
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,16 @@ def test_equal_texts_are_handled_once(spark, few_texts, name):
     names = [d[0] for d in found.description]
     assert rows(got, sorted(names)) == rows([dict(zip(names, r)) for r in found.fetchall()], sorted(names))
     assert most <= 3 * N
+
+
+def test_texts_are_encoded_once_not_rows(spark):
+    encoded = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        encoded.add(len(texts))
+        return pd.Series([[float(len(t)), 1.0] for t in texts])
+
+    records = spark.range(N).select(F.col("id").alias("idx"), F.when(F.col("id") % 5 < 2, "old plate").otherwise("blue ring").alias("text"))
+    assert occupations.duplicate_pairs(records, encoder=encode).count() == 2 * 30 * 29 // 2
+    assert 0 < encoded.value <= 40
