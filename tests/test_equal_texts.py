@@ -10,12 +10,12 @@ from kinfold.operators import occupations
 from tests.test_entry import SF, rows
 
 N = 3000
-NAMES = "candidate_union classify dedup_mapping".split()
+NAMES = "r_blocked_shape candidate_union classify dedup_mapping".split()
 
 
 @pytest.fixture(scope="module")
 def few_texts(tmp_path_factory):
-    """The tables of SF, with a part table of N rows, two names and one brand and type."""
+    """The tables of SF, with a part table of N rows, two names and one brand and type, and customers of three names."""
     at = tmp_path_factory.mktemp("few")
     con = duckdb.connect()
     for t in ("region", "nation"):
@@ -24,6 +24,7 @@ def few_texts(tmp_path_factory):
         f"COPY (SELECT i AS p_partkey, CASE WHEN i % 5 < 2 THEN 'old plate' ELSE 'blue ring' END AS p_name, 'Brand#7' AS p_brand, 'SMALL' AS p_type, (1 + i % 50)::INT AS p_size, 900.0 AS p_retailprice"
         f" FROM range({N}) t(i)) TO '{at}/part.parquet'"
     )
+    con.execute(f"COPY (SELECT i AS c_custkey, 'Customer#00' || i % 3 AS c_name, 1 AS c_nationkey, 1.0 AS c_acctbal, 'MACHINERY' AS c_mktsegment FROM range({N}) t(i)) TO '{at}/customer.parquet'")
     return str(at)
 
 
@@ -45,7 +46,7 @@ def most_shuffled(spark, run):
 @pytest.mark.parametrize("name", NAMES)
 def test_equal_texts_are_handled_once(spark, few_texts, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "part"):
+    for t in ("region", "nation", "part", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{few_texts}/{t}.parquet'")
     got, most = most_shuffled(spark, lambda: [r.asDict() for r in entry.queries()[name](spark, few_texts).collect()])
     found = con.execute(entry.oracle_sql()[name])

@@ -341,3 +341,28 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_blocks_after_the_first_take_the_same_rows():
+    """Where k rows are known, a block's scores are held against the last of them only: ties, copies and places stay."""
+    rng = np.random.default_rng(3)
+    for k in (2, 5):
+        scores, ids = rng.integers(0, 40, (20, 400)) / 8 + rng.choice([0.0, 4e-7, -4e-7], (20, 400)), rng.permutation(400)
+        copies = rng.integers(1, 4, 400)
+        best = [np.zeros((20, 0)), np.zeros((20, 0), np.int64), np.zeros((20, 0), np.int64)]
+        for i in range(0, 400, 80):
+            best = blocks.better(best, scores[:, i : i + 80], ids[i : i + 80], copies[i : i + 80], k)
+        for got, want in zip(best, blocks.select(blocks.rounded(scores), ids, k, copies)):
+            assert (got == want).all()
+
+
+def test_frequent_and_rare_grams_give_all_products():
+    rng = np.random.default_rng(4)
+    n, width, grams = 30, 100, 60
+    q, c = (rng.random((rows, grams)) * (rng.random((rows, grams)) < rng.choice([0.02, 0.9], grams)) for rows in (n, width))
+    row, gram = np.nonzero(q)
+    column, entry = np.nonzero(c.T)
+    known, first = np.unique(column, return_index=True)
+    block = {"grams": known.tobytes(), "starts": np.append(first, len(column)).tobytes(), "rows": entry.astype(np.int32).tobytes(), "weights": c.T[column, entry].tobytes(), "ids": np.arange(width).tobytes()}
+    found = sparse._products((n, row, *np.unique(gram, return_inverse=True), q[row, gram]), block)
+    assert 0 < len(sparse._parts(block)[2]) < len(known) and np.allclose(found, q @ c.T)
