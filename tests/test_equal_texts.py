@@ -10,7 +10,7 @@ from kinfold.operators import occupations
 from tests.test_entry import SF, rows
 
 N = 3000
-NAMES = "r_blocked_shape candidate_union classify dedup_mapping classify_callback_udf second_stage_pick".split()
+NAMES = "r_blocked_shape candidate_union classify dedup_mapping classify_callback_udf second_stage_pick link_single".split()
 
 
 @pytest.fixture(scope="module")
