@@ -247,23 +247,27 @@ def candidate_union(spark, sf_dir):
 
 
 def _part_scores(spark, sf_dir):
+    """Queries, their different texts, and the scored pairs of these."""
     q, c = part_pairs(spark, sf_dir)
-    return ranking.pair_scores(link.candidates(q, c), q, c)
+    texts = link.once(q)
+    return q, texts, link.scored(texts, link.fit(c))
 
 
 @query(_scored(PART) + " SELECT query_idx, query_text, corpus_idx, corpus_text, score FROM scored")
 def pair_scores(spark, sf_dir):
-    return _part_scores(spark, sf_dir)
+    return link.for_all(*_part_scores(spark, sf_dir))
 
 
 @query(_scored(PART) + _BEST + " SELECT * FROM best")
 def best_match(spark, sf_dir):
-    return ranking.best_match(_part_scores(spark, sf_dir))
+    q, texts, scored = _part_scores(spark, sf_dir)
+    return link.matched(q, texts, ranking.best_match(scored)).select("query_idx", "match_idx", "match_text", "score").where("match_idx is not null")
 
 
 @query(_scored(PART) + " SELECT query_idx, query_text, corpus_idx, corpus_text, score, (row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, corpus_idx))::INT AS rank FROM scored QUALIFY rank <= 5")
 def shortlist_topn(spark, sf_dir):
-    return ranking.shortlist(_part_scores(spark, sf_dir), 5)
+    q, texts, scored = _part_scores(spark, sf_dir)
+    return link.for_all(q, texts, ranking.shortlist(scored, 5))
 
 
 @query(_scored(PART) + _BEST + " SELECT query_idx, query_text, match_idx, match_text, score FROM q LEFT JOIN best USING (query_idx)")
