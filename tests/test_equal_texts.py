@@ -10,7 +10,7 @@ from kinfold.operators import occupations
 from tests.test_entry import SF, rows
 
 N = 3000
-NAMES = "r_blocked_shape candidate_union classify dedup_mapping classify_callback_udf second_stage_pick link_single link_threshold merge_back pair_scores shortlist_topn r_output_shape best_match link_blocked_overfetch link_multi".split()
+NAMES = "r_blocked_shape candidate_union classify dedup_mapping classify_callback_udf second_stage_pick link_single link_threshold merge_back pair_scores shortlist_topn r_output_shape best_match link_blocked_overfetch link_multi dedup_merged".split()
 
 
 @pytest.fixture(scope="module")
